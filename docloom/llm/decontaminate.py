@@ -1,10 +1,11 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, native.
 
 Documents are cut into windows of as many words as the benchmark's windows have. One pass
-hashes each window, probes the broadcast set, compares the words of every hash hit with the
-n-gram itself, and keeps what is equal. A mark at the end of each document's windows always
-hits, so that the same pass also brings one row for documents without hits, and the texts
-are neither joined nor shuffled.
+walks all words; a window is hashed and looked up in the broadcast set where the longest word
+of some n-gram stands at its place in it (no other window can be in the set), and the words of
+a hash hit are compared with the n-gram itself. A mark after the last word of each document
+always hits, so that the same pass also brings one row for documents without hits, and the
+texts are neither joined nor shuffled.
 
 The set grows with the benchmark only. Up to MAX_BROADCAST windows it is broadcast; a larger
 one is joined by shuffling the window hashes instead, with the same results.
@@ -31,12 +32,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAK, -1), "")
 
 
-def _hashes(of: str, n: str, m: int) -> Column:
-    """Hashes of all windows of m words, from the array of word hashes."""
-    at = lambda i: F.xxhash64(F.lit(m), *(F.get(F.col(of), i + k) for k in range(m)))
-    return F.when(F.col(n) >= m, F.transform(F.sequence(F.lit(0), F.col(n) - m), at)).otherwise(F.array().cast("array<bigint>"))
-
-
 def ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
     """m, gram (its words), items (ids as strings): the distinct windows of the benchmark."""
     w = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item").isNotNull())
@@ -48,30 +43,24 @@ def ngrams(benchmark: DataFrame, n: int = N) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, spans (word ranges of the windows, ends exclusive, sorted), items (sorted ids) per row of docs."""
     grams = ngrams(benchmark, n)
-    sizes = {r["m"]: r["count"] for r in grams.groupBy("m").count().collect()}  # n rows at most
-    lengths = sorted(sizes)
-    hashed = grams.withColumn("g", F.transform("gram", lambda x: F.xxhash64(x)))
-    key = F.lit(0).cast("long")
-    for m in lengths:
-        key = F.when(F.col("m") == m, F.xxhash64(F.lit(m), *(F.get(F.col("g"), F.lit(k)) for k in range(m)))).otherwise(key)
-    grams = hashed.select(key.alias("key"), "m", "gram", "items")
-    end_mark = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(0).alias("m"), F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"))
-    grams = grams.unionByName(end_mark)
-    if sum(sizes.values()) <= max_broadcast:
-        grams = F.broadcast(grams)
+    longest = F.array_max(F.transform("gram", lambda x, i: F.struct(F.length(x).alias("n"), x.alias("x"), i.alias("i"))))
+    none = F.array().cast("array<string>")
+    end_mark = docs.sparkSession.range(1).select(F.lit(0).alias("m"), none.alias("gram"), none.alias("items"), F.lit("").alias("anchor"), F.lit(0).alias("offset"))
+    grams = grams.select("m", "gram", "items", longest["x"].alias("anchor"), longest["i"].alias("offset")).unionByName(end_mark)
+    anchors = grams.select(F.xxhash64("anchor").alias("anchor"), "m", "offset").distinct()
+    grams = grams.select(F.xxhash64("gram").alias("key"), "m", "gram", "items")
+    if ngrams(benchmark, n).count() <= max_broadcast:
+        anchors, grams = F.broadcast(anchors), F.broadcast(grams)
 
     read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
-    read = read.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    windows = F.concat(*(_hashes("h", "n_words", m) for m in lengths), F.array(F.lit(0).cast("long")))
-    probes = read.select("doc_id", "text_key", "n_words", "w", F.posexplode(windows).alias("at", "key")).join(grams, "key")
-    base, total = F.lit(0), F.lit(0)
-    for m in lengths:
-        base = F.when(F.col("m") == m, total).otherwise(base)
-        total = total + F.greatest(F.col("n_words") - m + 1, F.lit(0))
-    start = F.col("at") - base
-    inside = (F.col("m") > 0) & (start >= 0) & (start + F.col("m") <= F.col("n_words"))
-    equal = F.when(inside, F.slice("w", start + 1, F.col("m")) == F.col("gram")).otherwise((F.col("m") == 0) & (F.col("at") == total))
-    hits = probes.filter(equal).select("doc_id", "text_key", "n_words", F.when(F.col("m") > 0, F.struct(start.alias("s"), (start + F.col("m")).alias("e"))).alias("span"), "items")
+    read = read.select("doc_id", "text_key", "n_words", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("at", "word"))
+    starts = read.withColumn("anchor", F.xxhash64("word")).join(anchors, "anchor").withColumn("start", F.col("at") - F.col("offset"))
+    inside = F.when(F.col("m") > 0, (F.col("start") >= 0) & (F.col("start") + F.col("m") <= F.col("n_words"))).otherwise(F.col("at") == F.col("n_words"))
+    window = F.when(F.col("m") > 0, F.slice("w", F.greatest(F.col("start") + 1, F.lit(1)), F.col("m"))).otherwise(none)
+    windows = starts.filter(inside).select("doc_id", "text_key", "n_words", "m", "start", window.alias("window"))
+    probes = windows.withColumn("key", F.xxhash64("window")).join(grams, ["key", "m"]).filter(F.col("window") == F.col("gram"))
+    span = F.when(F.col("m") > 0, F.struct(F.col("start").alias("s"), (F.col("start") + F.col("m")).alias("e")))
+    hits = probes.select("doc_id", "text_key", "n_words", span.alias("span"), "items")
     per_doc = hits.groupBy("doc_id", "text_key", "n_words").agg(
         F.sum(F.col("span").isNull().cast("long")).alias("rows"),
         F.array_sort(F.collect_set("span")).alias("spans"),
