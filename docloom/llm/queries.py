@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, decontaminate, line_dedup, secrets
+from docloom.llm import chat, decontaminate, line_dedup, packing, quality, secrets
 
-MODULES = (secrets, decontaminate, chat, line_dedup)
+MODULES = (secrets, quality, decontaminate, chat, line_dedup, packing)
 
 
 def queries() -> dict:
