@@ -146,7 +146,7 @@ def parse(page: str) -> Node:
 
 
 def _without_named(root: Node) -> Node:
-    """Cut the parts whose attributes say so, unless they hold an article or most of the page, as a wrapper does."""
+    """Cut the parts whose attributes say so, unless they hold an article or, on a page that has none, most of the text, as a wrapper does."""
     nodes = _order(root)
     if any(n.soft for n in nodes):
         size: dict[int, int] = {}
@@ -156,7 +156,7 @@ def _without_named(root: Node) -> Node:
             size[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
             article[id(n)] = n.name in ("article", "main") or any(article[id(c)] for c in below)
         for n in nodes:
-            if n.soft and not article[id(n)] and 2 * size[id(n)] <= size[id(root)]:
+            if n.soft and not article[id(n)] and (article[id(root)] or 2 * size[id(n)] <= size[id(root)]):
                 n.cut, n.children = True, []
     return root
 
