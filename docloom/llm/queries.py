@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, decontaminate, html_text, line_dedup, packing, quality, secrets
+from docloom.llm import chat, decontaminate, html_text, line_dedup, packing, pii, quality, secrets
 
-MODULES = (secrets, html_text, quality, decontaminate, chat, line_dedup, packing)
+MODULES = (secrets, html_text, quality, decontaminate, pii, chat, line_dedup, packing)
 
 
 def queries() -> dict:
