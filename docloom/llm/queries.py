@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import chat, decontaminate, html_text, jaccard_join, line_dedup, packing, pii, quality, secrets
+from docloom.llm import chat, decontaminate, html_text, jaccard_join, line_dedup, packing, pii, quality, secrets, substring_dedup
 
-MODULES = (secrets, html_text, quality, decontaminate, jaccard_join, pii, chat, line_dedup, packing)
+MODULES = (secrets, html_text, substring_dedup, quality, decontaminate, jaccard_join, pii, chat, line_dedup, packing)
 
 
 def queries() -> dict:
