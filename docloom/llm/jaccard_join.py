@@ -257,9 +257,13 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of their component; repeated rows of it stay once."""
-    stay = join(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(stay, "doc_id", "left_semi").select(docs.columns)
+    """The rows of docs, all columns, whose doc_id is the smallest of their component; repeated rows stay once.
+
+    Rows without doc_id stay where no linked document has one.
+    """
+    stay = join(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(stay, docs["doc_id"].eqNullSafe(stay["__id"]), "left_semi")
+    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op6_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
