@@ -8,12 +8,14 @@ cut into FRAGMENTS; partial overlaps are counted fragment by fragment and summed
    links with nothing and is done. Most documents end here, after three eighths of their shingles.
 2. The others are cut into all fragments. Candidates share a shingle of their prefixes: of n
    shingles, those n - ceil(t n) + 1 that come first where shingles of the first fragments precede the others
-   and rare ones the frequent. Of each shingle's list of classes only the pairs with its
-   leader, the one whose shingles are most common, are compared at first.
-3. Overlaps of these pairs are counted in each fragment and summed; links give components.
-4. Lists whose classes are in more than one component then have all pairs across
-   components compared. Within a component no pair can change the result, so a group
-   of copies, however large, costs a few comparisons a member and no link between components is lost.
+   and rare ones the frequent. Each shingle's list of classes is named after its leader, the class
+   whose shingles are most common, and lists of one leader are one group.
+3. In a group, partial overlaps are counted in each fragment and summed per pair: the leader's with
+   all members, then those of members that it is not linked with. Pairs of members that are both linked with the leader cannot
+   change the result, so a group of copies costs one comparison a member, and no link between
+   components is lost. Only links that join something leave the group. A large group is dealt in blocks of
+   members against blocks of members, each with the leader.
+4. Links give components.
 
 A shingle that many documents share costs one row per task in step 1, where postings are merged before
 the shuffle, and is no candidate for documents that have enough rarer ones.
@@ -42,6 +44,10 @@ PERCENT = 75
 FRAGMENTS, FIRST = 8, 3
 #: Ids of documents to be read again are broadcast up to this number and joined by a shuffle beyond it.
 MAX_BROADCAST = 1_000_000
+#: A block of a group has about so many members and shingles at most.
+BLOCK_MEMBERS, BLOCK_TOKENS = 2048, 2_000_000
+#: Overlaps are counted over so many shingles at a time.
+MATRIX = 2048
 
 
 def _key(own: np.ndarray) -> int:
@@ -187,20 +193,79 @@ def _least_overlap(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100)
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b))
-
-
-def overlaps(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """a, b, na, nb, overlap: partial overlaps, one for each fragment, summed for each pair."""
-    x = fragments.select(F.col("key").alias("a"), F.col("n").alias("na"), "fragment", F.col("tokens").alias("ta"))
-    y = fragments.select(F.col("key").alias("b"), F.col("n").alias("nb"), "fragment", F.col("tokens").alias("tb"))
-    partial = pairs.select("a", "b").join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
+def _joining(keys: np.ndarray, sizes: np.ndarray, leader: int, rows: np.ndarray, columns: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links (positions) that join the leader's and other members' components in a block.
 
+    rows and columns: positions of the block's members; parts: for each fragment, its tokens and their owners' positions.
+    """
 
-def linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    return overlaps(pairs, fragments).filter(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    def counted(own: np.ndarray, against: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(own), len(against)), np.float32)
+        row_of, column_of = np.full(len(keys), -1), np.full(len(keys), -1)
+        row_of[own], column_of[against] = np.arange(len(own)), np.arange(len(against))
+        for tokens, owner in parts:
+            mine = row_of[owner] >= 0
+            theirs = column_of[owner] >= 0
+            names = np.intersect1d(tokens[mine], tokens[theirs])
+            of_mine, of_theirs = np.searchsorted(names, tokens[mine]), np.searchsorted(names, tokens[theirs])
+            own_rows, their_rows = row_of[owner[mine]], column_of[owner[theirs]]
+            known, known_too = np.isin(tokens[mine], names), np.isin(tokens[theirs], names)
+            for low in range(0, len(names), MATRIX):
+                width = min(MATRIX, len(names) - low)
+                x, y = np.zeros((len(own), width), np.float32), np.zeros((len(against), width), np.float32)
+                for matrix, row, at, ok in ((x, own_rows, of_mine, known), (y, their_rows, of_theirs, known_too)):
+                    ok = ok & (at >= low) & (at < low + width)
+                    matrix[row[ok], at[ok] - low] = 1
+                total += x @ y.T
+        return total
+
+    def is_linked(overlap: np.ndarray, own: np.ndarray, against: np.ndarray) -> np.ndarray:
+        return 100 * overlap >= percent * (sizes[own][:, None] + sizes[against][None, :] - overlap)
+
+    everyone = np.unique(np.r_[rows, columns])
+    everyone = everyone[everyone != leader]
+    one = np.array([leader])
+    near = everyone[is_linked(counted(one, everyone), one, everyone)[0]]
+    out = [(leader, int(y)) for y in near]
+    inside = np.zeros(len(keys), bool)
+    inside[near] = True
+    inside[leader] = True
+    far = rows[~inside[rows]]
+    root = np.arange(len(keys))
+    root[inside] = leader
+    step = max(1, 4_000_000 // max(len(columns), 1))
+    for at in range(0, len(far), step):
+        own = far[at : at + step]
+        hit = is_linked(counted(own, columns), own, columns)
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            x, y = int(own[i]), int(columns[j])
+            if root[x] != root[y]:
+                out.append((x, y))
+                root[root == root[x]] = root[y]
+    return out
+
+
+def links(groups: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+    """a, b: keys of links that join all that links within groups (leader, key, block, blocks) join."""
+    per_block = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    as_row = per_block.select("leader", "key", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(1).alias("side"))
+    as_column = per_block.select("leader", "key", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(2).alias("side"))
+    leaders = groups.select("leader", "blocks").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = as_row.unionByName(as_column).unionByName(leaders.select("leader", F.col("leader").alias("key"), "i", "j", F.lit(4).alias("side")))
+    members = members.groupBy("leader", "i", "j", "key").agg(F.bit_or("side").alias("side"))
+
+    def join_block(block: pa.Table) -> pa.Table:
+        column = lambda c: block.column(c).to_numpy()
+        keys, first, owner = np.unique(column("key"), return_index=True, return_inverse=True)
+        sizes, side, leader = column("n")[first].astype(np.float64), column("side")[first], int(np.searchsorted(keys, column("leader")[0]))
+        lists = block.column("tokens").combine_chunks()
+        tokens, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        own, fragment = np.repeat(owner, ends), np.repeat(column("fragment"), ends)
+        parts = [(tokens[fragment == f], own[fragment == f]) for f in np.unique(fragment)]
+        found = _joining(keys, sizes, leader, np.flatnonzero(side & 1), np.flatnonzero(side & 2), parts, percent)
+        return pa.table({"a": pa.array(keys[[x for x, _ in found]], pa.int64()), "b": pa.array(keys[[y for _, y in found]], pa.int64())})
+
+    return members.join(fragments, "key").groupBy("leader", "i", "j").applyInArrow(join_block, "a bigint, b bigint").distinct()
 
 
 def _prefixes(fragments: DataFrame, percent: int) -> DataFrame:
@@ -224,31 +289,16 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     open_ = classes.filter((F.col("first") - F.coalesce("shared", F.lit(0)) <= F.col("n") - _least_overlap(F.col("n"), percent)) & F.col("rep").isNotNull()).select(F.col("rep").alias("doc_id"))
     if open_.count() <= MAX_BROADCAST:
         open_ = F.broadcast(open_)
-    fragments = stored(_fragments(docs.select("doc_id", "text").join(open_, "doc_id", "left_semi"), n).dropDuplicates(["key", "n", "fragment"]))
-    prefixes = stored(_prefixes(fragments, percent))
-
-    leader = prefixes.groupBy("token").agg(F.max(F.struct("common", "n", "key")).alias("leader"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    near = prefixes.join(leader, "token").filter((F.col("key") != F.col("leader.key")) & _sizes_fit(F.col("n"), F.col("leader.n"), percent))
-    pairs = near.select(F.greatest("key", "leader.key").alias("a"), F.least("key", "leader.key").alias("b")).distinct()
-    links = linked(pairs, fragments, percent)
-    roots = durable(components(links))
-
-    # Lists whose classes are not all in one component: every pair across components, but those within the leader's.
-    in_lists = prefixes.join(roots, prefixes["key"] == roots["node"], "left").select("token", "key", "n", "common", F.coalesce("root", "key").alias("root"))
-    mixed = in_lists.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("common", "n", "key", "root")).alias("leader")).filter("low <> high").select("token", F.col("leader.root").alias("main"), F.col("leader.key").alias("leader"))
-    listed = in_lists.join(mixed, "token")
-    x = listed.filter("root <> main").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = listed.filter("key <> leader").select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")  # those with the leader are done
-    across = x.join(y, (x["token"] == y["token"]) & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb"), percent) & ((F.col("a") < F.col("b")) | (F.col("rb") == F.col("main"))))
-    more = linked(across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), fragments, percent)
-    more = durable(more)
-    if more.isEmpty():
-        final = roots
-    else:
-        root_of = lambda side: more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
-        met = root_of("a").select("b", F.coalesce("ra", "a").alias("ra"), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        met = met.select("ra", F.coalesce("rb", "b").alias("rb"))
-        final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+    twice = of_docs.join(open_, "doc_id").groupBy("doc_id").count().filter("count > 1")
+    repeats = not twice.isEmpty()
+    fragments = _fragments(docs.select("doc_id", "text").join(open_, "doc_id", "left_semi"), n)
+    fragments = stored(fragments.dropDuplicates(["key", "n", "fragment"]) if repeats else fragments)
+    prefixes = durable(_prefixes(fragments, percent))
+    leaders = prefixes.groupBy("token").agg(F.max(F.struct("common", "n", "key"))["key"].alias("leader"))
+    members = durable(prefixes.join(leaders, "token").filter("key <> leader").select("leader", "key", "n").distinct())
+    sizes = members.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
+    groups = members.join(sizes, "leader").select("leader", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
+    final = components(links(groups, fragments, percent))
     reps = classes.join(final, classes["key"] == final["node"], "left").select("key", "n", "rep", F.coalesce("root", "key").alias("root"))
     lowest = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = reps.join(lowest, "root").select("key", "n", "component_id")
