@@ -43,7 +43,7 @@ from docloom.llm.rolling import mix, prefixes, ranges
 LENGTH = 50
 GRAM = 16
 HOT = 4096
-BLOCK = 200_000
+BLOCK = 50_000
 NULL_ID = -(2**63)
 LOW40 = np.uint64((1 << 40) - 1)
 
@@ -130,21 +130,27 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> list[int]:
+def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
     """For each text a number whose bit j says that its window j also is in a text of a smaller document."""
     sizes = np.array([len(t) - length + 1 for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.r_[0, np.cumsum(sizes + length - 1)[:-1]]
     own = np.repeat(np.arange(len(texts)), sizes)
     j = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[begin[own] + j]
-    order, lcp = suffix_order(windows)
+    start = begin[own] + j
+    # A window that is nowhere else has no neighbour with so long a common prefix.
+    h = ranges(prefixes(data), start, start + length)
+    by_hash = np.argsort(h, kind="stable")
+    same = h[by_hash[1:]] == h[by_hash[:-1]]
+    keep = np.sort(by_hash[np.r_[False, same] | np.r_[same, False]])
+    own, j, start = own[keep], j[keep], start[keep]
+    order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
     rank = np.unique(docs, return_inverse=True)[1]
     hit = previous_factors(rank[own[order]].astype(np.int32), lcp) >= length
     out = np.zeros(len(texts), np.uint64)
     at = order[hit]
     np.bitwise_or.at(out, own[at], np.uint64(1) << j[at].astype(np.uint64))
-    return out.tolist()
+    return out
 
 
 def _send(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -178,17 +184,6 @@ def _pairs(ids: np.ndarray, v: np.ndarray) -> bytes:
     return np.rec.fromarrays([ids.astype("<i8"), v.astype("<u8")], names="k,v").tobytes()
 
 
-def _by_doc(ids: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Documents with the bytes of their own values of each column."""
-    if not len(ids):
-        return
-    order = np.argsort(ids, kind="stable")
-    ids, columns = ids[order], [c[order] for c in columns]
-    cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)].tolist()
-    for i, j in zip(cuts, cuts[1:], strict=False):
-        yield int(ids[i]), [c[i:j].tobytes() for c in columns]
-
-
 def _rows(schema: pa.Schema, rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
@@ -201,8 +196,7 @@ def _rows(schema: pa.Schema, rows: Iterator[tuple], size: int = 20_000) -> Itera
 
 
 SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-TOLD = pa.schema([("d", pa.int64()), ("whole", pa.binary()), ("want", pa.binary()), ("hot", pa.binary())])
-BITS = pa.schema([("e", pa.int64()), ("v", pa.binary()), ("bits", pa.binary())])
+WHOLE, WANT, MANY = range(3)
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,14 +232,11 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pick, ks, vs in ((differ & ~big, want_k, want_v), (differ & big, hot_k, hot_v)):
             ks.append(k[pick])
             vs.append(v[pick])
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    for at, (ks, vs) in enumerate(((whole_k, whole_v), (want_k, want_v), (hot_k, hot_v))):
-        ks, vs = join(ks, np.int64), join(vs, np.uint64)
-        yield from _rows(TOLD, ((d, *(x if i == at else None for i in range(3))) for d, (x,) in _by_doc(ks, vs)))
-
-
-def _joined(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(p for p in parts or () if p), np.uint64)
+    for kind, (ks, vs) in enumerate(((whole_k, whole_v), (want_k, want_v), (hot_k, hot_v))):
+        for k, v in zip(ks, vs, strict=True):
+            for i in range(0, len(k), 50_000):
+                part = k[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v[i : i + 50_000].view(np.int64)), pa.array(np.full(len(part), kind, np.int8))], names=["d", "v", "kind"])
 
 
 def _gather(buckets: int):
@@ -255,23 +246,23 @@ def _gather(buckets: int):
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 held: dict[int, list[bytes]] = {}
-                columns = [batch.column(c).to_pylist() for c in ("k", "raw", "whole", "want", "hot")]
-                for k, raw, _, want, hot in zip(*columns, strict=True):
-                    want, hot = _joined(want), _joined(hot)
-                    if not len(want) + len(hot):
+                for k, raw, want, hot in zip(*(batch.column(c).to_pylist() for c in ("k", "raw", "want", "hot")), strict=True):
+                    if not want and not hot:
                         continue
-                    data = np.frombuffer(raw or b"", np.uint8)
-                    anchor, v, first, last = contexts(data)
-                    unique = np.zeros(len(v), bool)
-                    unique[np.unique(v, return_index=True)[1]] = True
-                    for i in np.flatnonzero(np.isin(v, want) & unique).tolist():
-                        a, b = int(first[i]), int(last[i]) + LENGTH
-                        held.setdefault(int(anchor[i] >> np.uint64(24)) % buckets, []).append(_packed(k, int(v[i]), 0, raw[a:b]))
-                    for i in np.flatnonzero(np.isin(v, hot) & unique).tolist():
-                        for j in range(int(first[i]), int(last[i]) + 1):
-                            own = raw[j : j + LENGTH]
-                            to = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % buckets
-                            held.setdefault(to, []).append(_packed(k, int(v[i]), j - int(first[i]), own))
+                    want, hot = set(want), set(hot)
+                    anchor, v, first, last = contexts(np.frombuffer(raw or b"", np.uint8))
+                    to = ((anchor >> np.uint64(24)) % np.uint64(buckets)).tolist()
+                    for i, x in enumerate(v.view(np.int64).tolist()):
+                        if x in want:
+                            want.discard(x)  # once for each text
+                            a = int(first[i])
+                            held.setdefault(to[i], []).append(_packed(k, x, 0, raw[a : int(last[i]) + LENGTH]))
+                        elif x in hot:
+                            hot.discard(x)
+                            for j in range(int(first[i]), int(last[i]) + 1):
+                                own = raw[j : j + LENGTH]
+                                bucket = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % buckets
+                                held.setdefault(bucket, []).append(_packed(k, x, j - int(first[i]), own))
                 for bucket, parts in held.items():
                     yield bucket, b"".join(parts)
 
@@ -281,7 +272,7 @@ def _gather(buckets: int):
 
 
 def _packed(k: int, v: int, j: int, text: bytes) -> bytes:
-    return k.to_bytes(8, "little", signed=True) + v.to_bytes(8, "little") + bytes((j, len(text))) + text
+    return k.to_bytes(8, "little", signed=True) + v.to_bytes(8, "little", signed=True) + bytes((j, len(text))) + text
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,42 +282,50 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
             groups.setdefault(bucket, []).append(data)
 
-    def rows() -> Iterator[tuple]:
-        for bucket in sorted(groups):
-            ks, vs, js, texts = [], [], [], []
-            for data in groups.pop(bucket):
-                at = 0
-                while at < len(data):
-                    size = data[at + 17]
-                    ks.append(int.from_bytes(data[at : at + 8], "little", signed=True))
-                    vs.append(int.from_bytes(data[at + 8 : at + 16], "little"))
-                    js.append(data[at + 16])
-                    texts.append(data[at + 18 : at + 18 + size])
-                    at += 18 + size
-            bits = earlier(np.array(ks, np.int64), texts)
-            hit = [i for i, b in enumerate(bits) if b]
-            ids = np.array([ks[i] for i in hit], np.int64)
-            for d, (v, b) in _by_doc(ids, np.array([vs[i] for i in hit], np.uint64), np.array([bits[i] << js[i] for i in hit], np.uint64)):
-                yield d, v, b
-
-    yield from _rows(BITS, rows())
-
-
-def covered(raw: bytes, whole: np.ndarray, v: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    for bucket in sorted(groups):
+        ks, vs, js, texts = [], [], [], []
+        for data in groups.pop(bucket):
+            at = 0
+            while at < len(data):
+                size = data[at + 17]
+                ks.append(int.from_bytes(data[at : at + 8], "little", signed=True))
+                vs.append(int.from_bytes(data[at + 8 : at + 16], "little", signed=True))
+                js.append(data[at + 16])
+                texts.append(data[at + 18 : at + 18 + size])
+                at += 18 + size
+        ids, numbers = np.array(ks, np.int64), np.array(vs, np.int64)
+        # Windows are only equal where anchors are: blocks end between anchors. Single windows of
+        # crowded anchors are kept together by their anchors' bits too.
+        order = np.argsort(numbers.view(np.uint64) >> np.uint64(40), kind="stable")
+        anchor = numbers.view(np.uint64)[order] >> np.uint64(40)
+        windows = np.cumsum(np.array([len(texts[i]) - LENGTH + 1 for i in order.tolist()]))
+        ends = np.flatnonzero(np.r_[anchor[1:] != anchor[:-1], True]) + 1
+        start = 0
+        for end in ends[np.r_[np.diff(windows[ends - 1] // BLOCK) > 0, True]].tolist():
+            own = order[start:end]
+            start = end
+            bits = earlier(ids[own], [texts[i] for i in own.tolist()])
+            hit = np.flatnonzero(bits)
+            if len(hit):
+                at = own[hit]
+                moved = bits[hit] << np.array(js, np.uint64)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers[at]), pa.array(moved.view(np.int64))], names=["e", "v", "bits"])
+
+
+def covered(raw: bytes, whole: list[int] | None, bits: list[dict] | None) -> np.ndarray:
     """Which bytes of a text lie in windows with earlier copies."""
-    data = np.frombuffer(raw, np.uint8)
-    edge = np.zeros(len(data) + 1, np.int32)
-    if len(whole) + len(v):
-        _, own, first, last = contexts(data)
-        full = np.isin(own, whole)
-        np.add.at(edge, first[full], 1)
-        np.add.at(edge, last[full] + LENGTH, -1)
-        if len(v):
-            said: dict[int, int] = {}
-            for x, b in zip(v.tolist(), bits.tolist(), strict=True):
-                said[x] = said.get(x, 0) | b
-            for i in np.flatnonzero(np.isin(own, v) & ~full).tolist():
-                b = said[int(own[i])]
+    edge = np.zeros(len(raw) + 1, np.int32)
+    if whole or bits:
+        _, own, first, last = contexts(np.frombuffer(raw, np.uint8))
+        every, said = set(whole or ()), {}
+        for x in bits or ():
+            said[x["v"]] = said.get(x["v"], 0) | x["bits"]
+        for i, x in enumerate(own.view(np.int64).tolist()):
+            if x in every:
+                edge[first[i]] += 1
+                edge[last[i] + LENGTH] -= 1
+            elif x in said:
+                b = said[x]
                 for j in range(int(last[i] - first[i]) + 1):
                     if b >> j & 1:
                         edge[first[i] + j] += 1
@@ -334,15 +333,15 @@ def covered(raw: bytes, whole: np.ndarray, v: np.ndarray, bits: np.ndarray) -> n
     return np.cumsum(edge[:-1]) > 0
 
 
-def _finish(kind: pa.DataType, with_text: bool):
+def _finish(with_text: bool):
     """Step 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, whole, v, bits in zip(*(batch.column(c).to_pylist() for c in ("raw", "whole", "v", "bits")), strict=True):
+            for raw, whole, bits in zip(*(batch.column(c).to_pylist() for c in ("raw", "whole", "bits")), strict=True):
                 raw = raw or b""
-                gone = covered(raw, _joined(whole), _joined(v), _joined(bits))
+                gone = covered(raw, whole, bits)
                 rest = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
                 runs = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
                 rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else [])))
@@ -368,14 +367,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     sent = texts.select("k", "raw", "doc_id").mapInArrow(send, "bucket int, data binary")
     # Copies within a batch go to any task, by a number of their own.
     dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket").cast("bigint")))
-    told = dealt.mapInArrow(_match, "d bigint, whole binary, want binary, hot binary")
-    told = told.groupBy("d").agg(F.collect_list("whole").alias("whole"), F.collect_list("want").alias("want"), F.collect_list("hot").alias("hot"))
+    told = dealt.mapInArrow(_match, "d bigint, v bigint, kind tinyint")
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("v")))
+    told = told.groupBy("d").agg(of(WHOLE).alias("whole"), of(WANT).alias("want"), of(MANY).alias("hot"))
     asked = texts.join(told, F.col("k") == F.col("d")).select("k", "raw", "doc_id", "whole", "want", "hot")
-    bits = asked.mapInArrow(_gather(buckets), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(_compare, "e bigint, v binary, bits binary")
-    bits = bits.groupBy("e").agg(F.collect_list("v").alias("v"), F.collect_list("bits").alias("bits"))
-    met = texts.join(told, F.col("k") == F.col("d"), "left").join(bits, F.col("k") == F.col("e"), "left").select("doc_id", "k", "raw", "whole", "want", "hot", "v", "bits")
+    bits = asked.mapInArrow(_gather(buckets), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(_compare, "e bigint, v bigint, bits bigint")
+    bits = bits.groupBy("e").agg(F.collect_list(F.struct("v", "bits")).alias("bits"))
+    met = texts.join(told, F.col("k") == F.col("d"), "left").join(bits, F.col("k") == F.col("e"), "left").select("doc_id", "k", "raw", "whole", "want", "hot", "bits")
     out = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return met.mapInArrow(_finish(None, with_text), out)
+    return met.mapInArrow(_finish(with_text), out)
 
 
 def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
