@@ -233,7 +233,7 @@ def _joining(keys: np.ndarray, sizes: np.ndarray, leader: int, rows: np.ndarray,
     far = rows[~inside[rows]]
     root = np.arange(len(keys))
     root[inside] = leader
-    step = max(1, 4_000_000 // max(len(columns), 1))
+    step = max(1, 1_000_000 // max(len(columns), 1))
     for at in range(0, len(far), step):
         own = far[at : at + step]
         hit = is_linked(counted(own, columns), own, columns)

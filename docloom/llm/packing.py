@@ -9,10 +9,10 @@ sequences at one offset; pieces take their slots by their rank within their leng
 Ranks within a length are counted in buckets, so that no length, however frequent, is sorted
 by one task; the buckets' first ranks come from their counts.
 
-Texts are tokenised once, white-space chunk by chunk: the tokenizer drops white space and no
-token crosses it, so that ids of frequent chunks can be looked up. A worker keeps between
-CACHE and twice as many chunks; others are encoded each time. The pieces (lengths and checksums, or ids where asked
-for) are checkpointed and read twice.
+Texts are tokenised once, word by word: no token crosses white space, so that the ids of words
+are looked up where they have been seen before (see Encoder; a worker keeps about CACHE
+words, in some 30 bytes each). The pieces (lengths and checksums, or ids where asked for) are checkpointed and read
+twice.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed each
 for itself; no rows give no sequences. Other columns are ignored.
@@ -21,8 +21,8 @@ for itself; no rows give no sequences. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -33,21 +33,55 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import durable, table
+from docloom.llm.rolling import prefixes, ranges
 
 LENGTH = 4096
 END_ID = 1
-CACHE = 400_000
+CACHE = 2_000_000
+#: Bytes of text that are tokenised at a time.
+PART = 1 << 20
 #: ASCII marks at which the tokenizer ends a word, whatever follows; the apostrophe begins some of its words.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 BUCKET_ROWS = 200_000
 
 
-class Chunks(dict):
-    """Little-endian 32-bit ids of white-space chunks.
+def _cut(raw: bytes) -> list[bytes]:
+    """A text in parts of about PART bytes that end at white space."""
+    out, at = [], 0
+    while len(raw) - at > PART:
+        end = max(raw.rfind(b" ", at, at + PART), raw.rfind(b"\n", at, at + PART))
+        end = end if end > at else next((m.start() for m in re.finditer(rb"\s", raw[at + PART :])), len(raw) - at - PART) + at + PART
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
 
-    A chunk of letters and then ASCII marks is made of the ids of both, since the tokenizer splits
-    there; the letters, lower-cased as the tokenizer does, are one of its words. Words not seen yet are
-    encoded together, as one text, and told apart by the ids that end words.
+
+def _kinds() -> np.ndarray:
+    """0: other, 1: ASCII letter, 2: mark, 3: white space."""
+    kinds = np.zeros(256, np.int8)
+    kinds[list(range(65, 91)) + list(range(97, 123))] = 1
+    kinds[list(MARKS.encode())] = 2
+    kinds[[9, 10, 11, 12, 13, 32]] = 3
+    return kinds
+
+
+KINDS = _kinds()
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[65:91] += 32
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of runs, one after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
+class Encoder:
+    """Ids of texts, in numpy, with the words' ids kept by 64-bit hashes of their bytes.
+
+    Texts are cut where the tokenizer cuts too: at ASCII white space, which it drops, and between ASCII letters and
+    marks. ASCII letters are lower-cased, as it does. Each distinct word of a batch is looked up once. Words not seen
+    yet are encoded together, as one text, and told apart by the ids that end words; what isn't
+    all letters or all marks is encoded by itself. A text with special tokens is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,88 +92,122 @@ class Chunks(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _new_words(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and how many each has."""
+        texts = [w.decode() for w in words]
+        plain, rest = [], []
+        for i, t in enumerate(texts):
+            if not t.isascii():
+                t = texts[i] = "".join(map(str.lower, t)) if t.isalpha() and is_normalized("NFC", t) else t  # one by one: no final sigma
+            (plain if t.isalpha() and (t.isascii() or is_normalized("NFC", t)) else rest).append(i)
+        parts: list[np.ndarray | None] = [None] * len(words)
+        if plain:
+            ids = self.whole([" ".join(texts[i] for i in plain)])[0]
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(part):
+            if len(stops) != len(plain):
                 raise ValueError("the tokenizer splits words in another way")
-            data, ends = ids.tobytes(), (4 * stops).tolist()
-            out.update(zip(part, (data[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
-        return out
-
-    def _new_chunks(self, new: list[bytes]) -> dict[bytes, bytes]:
-        whole, split = [], []
-        for raw in new:
-            text = raw.decode()
-            stem = text.rstrip(MARKS)
-            word = stem.lower() if raw.isascii() else "".join(map(str.lower, stem))  # one by one: no final sigma
-            if stem.isalpha() and (raw.isascii() or word.isalpha() and is_normalized("NFC", stem)):
-                split.append((raw, word, text[len(stem) :]))
-            else:
-                whole.append((raw, text))
-        out = dict(zip((raw for raw, _ in whole), self._encode([t for _, t in whole]), strict=True))
-        unseen = list({w for _, w, _ in split if w not in self.words})
-        fresh = self._new_words(unseen)
-        marks = list({m for _, _, m in split if m and m not in self.words})
-        fresh.update(zip(marks, self._encode(marks), strict=True))
-        known = self.words
-        for raw, word, mark in split:
-            ids = known.get(word) or fresh[word]
-            out[raw] = ids + (known.get(mark) or fresh[mark]) if mark else ids
-        if len(known) < CACHE:
-            known.update(fresh)
-        return out
-
-    def ids(self, raws: list[list[bytes]]) -> list[bytes]:
-        """Ids of texts given as lists of chunks."""
-        flat = [c for x in raws for c in x]
-        out = list(map(self.get, flat))
-        if new := {c for c, ids in zip(flat, out, strict=True) if ids is None}:
-            self.update(self._new_chunks(list(new)))
-            out = list(map(self.__getitem__, flat))
-            if len(self) > 2 * CACHE:  # the chunks seen first are the frequent ones
-                for c in list(itertools.islice(self, CACHE, None)):
-                    del self[c]
-        ends = list(itertools.accumulate(map(len, raws)))
-        return [b"".join(out[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
-
-
-_CHUNKS: dict[str, Chunks] = {}
-
-
-def chunks(path: str) -> Chunks:
-    if path not in _CHUNKS:
-        _CHUNKS[path] = Chunks(path)
-    return _CHUNKS[path]
+            for i, x in zip(plain, np.split(ids, stops[:-1]), strict=True):
+                parts[i] = x
+        for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            parts[i] = x
+        return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+
+    def batch(self, raws: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts without special tokens."""
+        data = LOWERED[np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)]
+        kind = np.r_[np.int8(3), KINDS[data]]
+        before, here = kind[:-1], kind[1:]
+        first = np.flatnonzero((here != 3) & ((before == 3) | ((before == 1) & (here == 2)) | ((before == 2) & (here == 1))))
+        ends = np.flatnonzero((before != 3) & ((here == 3) | ((before == 1) & (here == 2)) | ((before == 2) & (here == 1))))
+        hashes = ranges(prefixes(data), first, ends)
+        names, at, own = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, names)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == names[known]
+        starts, sizes = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        starts[known], sizes[known] = self.starts[place[known]], self.sizes[place[known]]
+        pool = self.pool
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            flat = data.tobytes()
+            ids, counts = self._new([flat[i:j] for i, j in zip(first[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)])
+            sizes[fresh] = counts
+            if len(self.keys) < CACHE:
+                starts[fresh] = np.cumsum(counts) - counts + len(pool)
+                self.pool = pool = np.concatenate([pool, ids])
+                self.keys = np.insert(self.keys, place[fresh], names[fresh])
+                self.starts = np.insert(self.starts, place[fresh], starts[fresh])
+                self.sizes = np.insert(self.sizes, place[fresh], counts)
+            else:  # this batch's own pool
+                kept = np.flatnonzero(known)
+                starts[fresh] = np.cumsum(counts) - counts
+                moved = _ragged(starts[kept], sizes[kept])
+                pool = np.concatenate([ids, pool[moved]])
+                starts[kept] = len(ids) + np.cumsum(sizes[kept]) - sizes[kept]
+        ids = pool[_ragged(starts[own], sizes[own])]
+        # Words of each text, then ids of each text.
+        text_ends = np.cumsum([len(r) + 1 for r in raws])
+        words = np.searchsorted(first, text_ends)
+        cuts = np.r_[0, np.cumsum(sizes[own])][words]
+        return np.split(ids, cuts[:-1])
+
+    def ids(self, raws: list[bytes]) -> list[np.ndarray]:
+        out: list[list[np.ndarray]] = [[] for _ in raws]
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            for (i, _), x in zip(held, self.batch([r for _, r in held]), strict=True):
+                out[i].append(x)
+            held.clear()
+
+        for i, raw in enumerate(raws):
+            if b"<|" in raw:
+                out[i] = self.whole([raw.decode()])
+                continue
+            for part in _cut(raw):
+                held.append((i, part))
+                size += len(part)
+                if size > PART:
+                    flush()
+                    size = 0
+        if held:
+            flush()
+        return [np.concatenate(x) if len(x) != 1 else x[0] for x in out]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunks(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
+        own_encoder = encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = [(x or b"").split() for x in part.column("raw").to_pylist()]
                 rows, data = [], []
-                for i, ids in enumerate(cache.ids(texts)):
-                    ids += end
-                    n = len(ids) // 4
-                    for k in range(-(-n // length)):
-                        own = ids[4 * k * length : 4 * (k + 1) * length]
-                        rows.append((i, k, k * length, len(own) // 4, zlib.crc32(own)))
+                for i, ids in enumerate(own_encoder.ids([x or b"" for x in part.column("raw").to_pylist()])):
+                    ids = np.r_[ids, np.uint32(END_ID)].astype("<u4")
+                    for k in range(-(-len(ids) // length)):
+                        own = ids[k * length : (k + 1) * length]
+                        rows.append((i, k, k * length, len(own), zlib.crc32(own)))
                         if keep_ids:
-                            data.append(np.frombuffer(own, "<u4").astype(np.int32))
+                            data.append(own.astype(np.int32))
                 r = np.array(rows, np.int64).reshape(len(rows), 5)
                 columns = [part.column("doc_id").take(pa.array(r[:, 0])), pa.array(r[:, 1].astype(np.int32)), *(pa.array(r[:, c]) for c in (2, 3, 4))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
