@@ -51,7 +51,8 @@ def extract(members: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame
         F.min_by("name", F.when(is_md, F.col("pos"))).alias("md"), F.min_by("name", F.when(is_list, F.col("pos"))).alias("list"),
         F.min_by("content", F.when(is_md, F.col("pos"))).alias("md_bytes"), F.min_by("content", F.when(is_list, F.col("pos"))).alias("list_bytes"), F.max("error").alias("error"),
     )
-    text = lambda c: F.coalesce(F.replace(F.expr(f"try_validate_utf8({c})") if False else F.decode(F.col(c), "utf-8"), F.lit("�"), F.lit("")), F.lit(""))
+    valid = lambda c: F.when(F.is_valid_utf8(c), c).otherwise(F.replace(F.make_valid_utf8(c), F.lit("\ufffd"), F.lit("")))
+    text = lambda c: F.coalesce(valid(F.col(c).cast("string")), F.lit(""))
     docs = picked.select(key, text("md_bytes").alias("markdown"), text("list_bytes").alias("layout_json"), F.coalesce("error", F.when(F.col("md").isNull(), "no Markdown in the archive")).alias("error"))
     used = picked.select(key, F.explode(F.array("md", "list")).alias("name")).filter("name is not null")
     return docs, members.filter("name is not null").join(used, [key, "name"], "left_anti").select(key, "name", "content")
