@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +51,8 @@ def stored(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Text that is all ASCII takes the cheaper built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def bound(f: Callable[[Column], Column], **values: Column) -> Column:
+    """f of a struct of the values, each evaluated once even where f uses it inside a lambda."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f), F.lit(0))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, table
+from docloom.llm.common import ascii_lower, bound, table
 
 N = 10
 MAX_BROADCAST = 1_000_000
@@ -90,9 +90,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool
         return docs.join(found, on, "left_anti")
     pieces = F.regexp_extract_all(docs["text"], F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     gone = F.array_distinct(F.flatten(F.transform("__spans", lambda x: F.sequence(x["s"], x["e"] - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), gone)
-    tail = F.regexp_extract(docs["text"], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
-    cut = F.concat(F.array_join(F.transform(kept, lambda i: F.get(pieces, i)), ""), tail)
+    stay = bound(lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v["pieces"]) - 1), v["gone"]), lambda i: F.get(v["pieces"], i)), ""), pieces=pieces, gone=gone)
+    tail = F.reverse(F.regexp_extract(F.reverse(docs["text"]), r"\A[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0))
+    cut = F.concat(stay, tail)
     return docs.join(found, on, "left").select(*(F.when(F.col("__spans").isNull(), docs[c]).otherwise(cut).alias(c) if c == "text" else docs[c] for c in docs.columns))
 
 

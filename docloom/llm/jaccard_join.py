@@ -57,6 +57,8 @@ def _key(own: np.ndarray) -> int:
 def _postings(hashes: np.ndarray, owner: np.ndarray, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """Shingles that several sets of the batch share are counted at once, for each set, and sent without owners;
     the others are sent with theirs. A blob: number of owners, their keys, their counts of shingles, shingles."""
+    if not len(hashes):
+        return np.zeros(len(keys), np.int64), []
     order = np.argsort(hashes, kind="stable")
     h, own = hashes[order], owner[order]
     first = np.r_[True, h[1:] != h[:-1]]
@@ -67,7 +69,7 @@ def _postings(hashes: np.ndarray, owner: np.ndarray, keys: np.ndarray, buckets:
     bucket = (h % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((own, bucket))
     h, own, bucket = h[order], own[order], bucket[order]
-    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)] if len(h) else np.zeros(1, np.int64)
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(h)]
     names = np.r_[keys, np.int64(0)]
     out = []
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):

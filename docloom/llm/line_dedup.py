@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import bound, table
 
 SPAN = 3
 
@@ -46,15 +46,15 @@ def covered(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """All columns of docs with the cleaned text, then __lines and __removed, the lines before and those that went."""
-    gone = covered(docs, span)
-    on = docs["doc_id"].eqNullSafe(gone["d"]) & (F.xxhash64(docs["text"]) == gone["t"])
+    gone = covered(docs, span).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    on = docs["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(docs["text"]) == gone["__t"])
     lines = F.split(docs["text"], "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    cleaned = F.when(F.col("gone").isNull(), docs["text"]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = bound(lambda v: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(v["lines"]) - 1), v["gone"]), lambda i: F.get(v["lines"], i)), "\n"), lines=lines, gone=F.col("__gone"))
+    cleaned = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept)
     return docs.join(gone, on, "left").select(
         *(cleaned.alias("text") if c == "text" else docs[c] for c in docs.columns),
         F.when(docs["text"].isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("__removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"),
     )
 
 

@@ -334,7 +334,8 @@ def test_pseudonyms(value):
     again, found = pii.replace(new, b"key")
     assert [k for _, k, _ in found] == [k for _, k, _ in spans]  # a pseudonym has the format of what it stands for
     parts = re.fullmatch(r"x (.*) y, (.*)\.", new)
-    assert parts[1] == parts[2] and re.sub(r"\d", "9", parts[1])[:1] == re.sub(r"\d", "9", value)[:1]
+    assert parts[1] == parts[2]
+    assert "@" in value or re.sub(r"\d", "9", re.sub("[A-Z]", "A", parts[1])) == re.sub(r"\d", "9", re.sub("[A-Z]", "A", value)) or spans[0][1] == pii.KINDS.index("ip")
 
 
 def test_pseudonyms_link_and_leave():
