@@ -82,17 +82,19 @@ def rewrite_images(c: Column, urls: Column) -> Column:
 
     Of several entries for one name the last counts.
     """
-    entries = F.flatten(F.transform(F.map_entries(urls), lambda e: F.array(F.struct(e["key"].alias("k"), e["value"].alias("v")), F.struct(base_name(e["key"]).alias("k"), e["value"].alias("v")))))
-    known = lambda name: F.nullif(F.try_element_at(F.filter(entries, lambda e: e["k"] == name), F.lit(-1))["v"], F.lit(""))
+    listed = F.flatten(F.transform(F.map_entries(urls), lambda e: F.array(F.struct(e["key"].alias("k"), e["value"].alias("v")), F.struct(base_name(e["key"]).alias("k"), e["value"].alias("v")))))
     between = F.split(c, IMAGE, -1)
     found = F.arrays_zip(F.regexp_extract_all(c, F.lit(IMAGE), F.lit(0)).alias("m"), F.regexp_extract_all(c, F.lit(IMAGE), F.lit(1)).alias("alt"), F.regexp_extract_all(c, F.lit(IMAGE), F.lit(2)).alias("ref"))
 
-    def new(x: Column) -> Column:
+    def new(x: Column, entries: Column) -> Column:
+        known = lambda name: F.nullif(F.try_element_at(F.filter(entries, lambda e: e["k"] == name), F.lit(-1))["v"], F.lit(""))
         ref = strip_chars(strip(x["ref"]), "<>")
         url = F.coalesce(known(ref), known(base_name(ref)))
         return F.when(ref.rlike(r"\A(?:https?://|data:)") | url.isNull(), x["m"]).otherwise(F.concat(F.lit("!["), x["alt"], F.lit("]("), url, F.lit(")")))
 
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("t"), F.transform(found, new).alias("r")), lambda x: F.concat(x["t"], F.coalesce(x["r"], F.lit("")))), "")
+    # The entries are bound to a lambda's variable, so that they are listed once for each text and not for each image.
+    rewritten = F.get(F.transform(F.array(listed), lambda entries: F.transform(found, lambda x: new(x, entries))), F.lit(0))
+    joined = F.array_join(F.transform(F.arrays_zip(between.alias("t"), rewritten.alias("r")), lambda x: F.concat(x["t"], F.coalesce(x["r"], F.lit("")))), "")
     return F.when(F.coalesce(F.size(urls), F.lit(0)) <= 0, c).otherwise(joined)
 
 

@@ -73,3 +73,12 @@ def chunks_from_json(stored: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
 def state_json(states: DataFrame) -> DataFrame:
     """source_path, json of job states."""
     return states.select("source_path", F.to_json(F.struct("source_path", "source_hash", "model", "status", "chunk_ids", "done_chunk_ids")).alias("json"))
+
+
+def states_from_json(stored: DataFrame) -> DataFrame:
+    """The way back; fields that are missing get their defaults."""
+    row = F.from_json("json", "source_path string, source_hash string, model string, status string, chunk_ids array<string>, done_chunk_ids array<string>")
+    got = stored.select(row.alias("r"))
+    empty, none = F.lit(""), F.array().cast("array<string>")
+    defaults = {"source_path": empty, "source_hash": empty, "model": empty, "status": F.lit("running"), "chunk_ids": none, "done_chunk_ids": none}
+    return got.select(*(F.coalesce(F.col(f"r.{c}"), d).alias(c) for c, d in defaults.items()))

@@ -46,6 +46,7 @@ RECORDS = (
     ("", "Title ", "1"), ("", "Abstract", "2"), ("1. ", "Introduction", "2"), ("1.1 ", "Scope", "2"), ("1.1.2 ", "Limits", "\"2\""),
     ("II. ", "Methods", "2"), ("A. ", "First", "3"), ("B. ", "Second", "0"), ("C. ", "Third", "2"), ("V. ", "Results", "2"),
     ("", "Deep part.", "4"), ("", "plain body", "0"), ("1. ", "Introduction", "5"),
+    ("2.1 ", "Part 0", "2"), ("2.3 ", "Part 2", "2"), ("2.5 ", "Part 1", "1"),
 )
 
 

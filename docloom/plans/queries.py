@@ -237,7 +237,10 @@ def numbering_standalone(spark, sf_dir):
 # --- tables, chunks, translations -------------------------------------------------------------------------------
 
 
-@query()
+HTML_SQL = r"""h AS (SELECT doc_id, block_no, regexp_extract(source_text, 'colspan="2">(\d+)<', 1) AS n, contains(source_text, '<td>p</td>') AS two FROM blocks WHERE kind = 'html')"""
+
+
+@query(f"""WITH RECURSIVE {BLOCKS_SQL}, {HTML_SQL} SELECT doc_id, block_no, 0 AS r, n || chr(9) || n AS cells FROM h UNION ALL SELECT doc_id, block_no, 1, 'p' || chr(9) || 'q\\|r' FROM h WHERE two""")
 def html_table_rows(spark, sf_dir):
     found = _blocks(spark, sf_dir).filter("kind = 'html'").select("doc_id", "block_no", tables.html_table_rows(F.col("source_text")).alias("rows"))
     return found.select("doc_id", "block_no", F.posexplode_outer("rows").alias("r", "cells")).select("doc_id", "block_no", "r", F.array_join("cells", "\t").alias("cells"))
@@ -293,7 +296,18 @@ def translated_documents(spark, sf_dir):
     return pipeline.translate(blocks, pipeline.mock_translator, LIMIT).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query()
+def _normalized_sql() -> str:
+    """Everything before translation, for all documents."""
+    restored = r"""rt AS (SELECT b.*, l.level AS new_level FROM blocks b LEFT JOIN levels l ON b.type = 'heading' AND l.doc_id = b.doc_id AND l.title = regexp_replace(trim(b.title), '(\s*\.)+$', '')),
+ t1 AS (SELECT * EXCLUDE (new_level) REPLACE (CASE WHEN new_level <> level THEN repeat('#', new_level) || ' ' || title ELSE source_text END AS source_text) FROM rt),"""
+    converted = """ t2 AS (SELECT t1.* REPLACE (CASE WHEN h.n IS NULL THEN t1.source_text ELSE '| ' || n || ' | ' || n || ' |' || chr(10) || '| --- | --- |' || CASE WHEN two THEN chr(10) || '| p | q\\|r |' ELSE '' END END AS source_text) FROM t1 LEFT JOIN h USING (doc_id, block_no))"""
+    tail = DEDUPED_SQL[len(BLOCKS_SQL) :].replace("FROM blocks)", "FROM t2)")
+    return f"""WITH RECURSIVE {BLOCKS_SQL}, {LEVELS_SQL}, {HTML_SQL}, {restored}{converted}{tail},
+ doc AS (SELECT doc_id, string_agg(rtrim(normalized_text, chr(10)), chr(10) || chr(10) ORDER BY block_no) || chr(10) AS t FROM kept WHERE normalized_text <> '' GROUP BY doc_id)
+SELECT doc_id, len(t)::INTEGER AS n_chars, sha256(t) AS text_sha256 FROM doc"""
+
+
+@query(_normalized_sql())
 def normalized_documents(spark, sf_dir):
     """Parse, restore, convert, clean, serialise: everything before translation."""
     blocks = pipeline.normalize(markdown_corpus(spark, sf_dir), layout_corpus(spark, sf_dir))
@@ -489,3 +503,66 @@ def chunk_json_round_trip(spark, sf_dir):
     made = chunking.chunk_blocks(_blocks(spark, sf_dir), LIMIT).withColumn("translation", F.lit(None).cast("string")).withColumn("model", F.lit(None).cast("string")).withColumn("source_hash", F.lit(""))
     back = state.chunks_from_json(state.chunk_json(made))
     return back.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "source_hash"))), lambda x: x["source_hash"]), ""), 256).alias("hashes"))
+
+
+@query("SELECT p_partkey AS doc_id, p_name AS name FROM part WHERE p_partkey % 3 <> 0")
+def image_cache_restore(spark, sf_dir):
+    cached = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("name"))
+    return images.missing_files(cached, cached.filter("doc_id % 3 = 0"))
+
+
+@query("""WITH f AS (SELECT p_partkey % 10 AS doc_id, p_name AS name, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS r FROM part)
+SELECT doc_id, name, 'u' || doc_id || '/' || (r - 1) AS src FROM f WHERE r <= 20""")
+def positional_replies(spark, sf_dir):
+    files = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("doc_id"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"))
+    answers = files.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("at")).withColumn("src", F.concat(F.lit("u"), "doc_id", F.lit("/"), "at"))
+    return images.matched_replies(files, answers, ("doc_id",)).select("doc_id", "name", "src")
+
+
+@query("""SELECT 'in/' || (c_custkey % 50) || '.md' AS source_path, max('w' || repeat('/x', (c_custkey % 5)::INTEGER)) AS work_dir FROM customer WHERE c_custkey % 50 < 25 GROUP BY 1""")
+def work_dir_lookup(spark, sf_dir):
+    path = F.concat(F.lit("in/"), (F.col("c_custkey") % 50).cast("string"), F.lit(".md"))
+    states = _read(spark, sf_dir, "customer").select(path.alias("source_path"), F.concat(F.lit("w"), F.repeat(F.lit("/x"), (F.col("c_custkey") % 5).cast("int"))).alias("work_dir"))
+    wanted = spark.range(25).select(F.concat(F.lit("in/"), F.col("id").cast("string"), F.lit(".md")).alias("source_path"))
+    return state.locate(states, wanted)
+
+
+@query("SELECT c_name AS source_path, sha256(c_mktsegment) AS source_hash FROM customer WHERE c_custkey % 4 <> 0")
+def verified_states(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer")
+    states = rows.select(F.col("c_name").alias("source_path"), F.sha2(F.when(F.col("c_custkey") % 4 == 0, "changed").otherwise(F.col("c_mktsegment")), 256).alias("source_hash"))
+    return state.verified(states, rows.select(F.col("c_name").alias("source_path"), F.col("c_mktsegment").cast("binary").alias("content")))
+
+
+@query(f"WITH {LEVELS_SQL}, w AS (SELECT doc_id, unnest(['Abstract', 'Deep part..', 'nothing']) AS title FROM documents WHERE text IS NOT NULL) SELECT w.doc_id, w.title, coalesce(level, 1)::INTEGER AS level FROM w LEFT JOIN levels ON levels.doc_id = w.doc_id AND levels.title = regexp_replace(w.title, '\\.+$', '')")
+def heading_level_lookup(spark, sf_dir):
+    titles = layout_corpus(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("Abstract"), F.lit("Deep part.."), F.lit("nothing"))).alias("title"))
+    return layout.heading_level(titles, heading_levels(spark, sf_dir))
+
+
+@query("""SELECT n_nationkey AS k, '{"model":"m","messages":[{"role":"system","content":"Translate into zh."},{"role":"user","content":"' || n_name || '"}],"temperature":0.7,"top_p":0.9}' AS payload FROM nation""")
+def request_payloads(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), replies.payload(F.col("n_name"), "zh", "m", "Translate into {target_lang}.").alias("payload"))
+
+
+@query(f"""SELECT event_id, {STATUS_SQL} <> 200 AND ({STATUS_SQL} = 429 OR {STATUS_SQL} >= 500 OR event_id % 7 = 0) AS retry FROM events""")
+def upload_retry(spark, sf_dir):
+    code = F.when(F.col("event_id") % 7 == 0, "RATE_LIMIT").otherwise("OTHER")
+    return _read(spark, sf_dir, "events").select("event_id", retry.upload_retryable(_status(), code).alias("retry"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'first ' || c_custkey WHEN c_custkey % 3 = 0 THEN 'second' ELSE '' END AS layout_json FROM customer")
+def layout_candidates(spark, sf_dir):
+    from docloom.sources.files import with_layout
+
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    first = docs.filter("k % 2 = 0").select("k", F.concat(F.lit("first "), "k").alias("layout_json"))
+    return with_layout(docs, first, docs.filter("k % 3 = 0").select("k", F.lit("second").alias("layout_json")), key="k")
+
+
+@query("SELECT c_custkey AS k, 'p/' || c_name AS path, 'completed' AS status, [c_name, 'z'] AS chunk_ids FROM customer")
+def state_json_round_trip(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer")
+    states = rows.select(F.concat(F.lit("p/"), "c_name").alias("source_path"), F.lit("h").alias("source_hash"), F.lit("m").alias("model"), F.lit("completed").alias("status"), F.array("c_name", F.lit("z")).alias("chunk_ids"), F.array("c_name").alias("done_chunk_ids"))
+    back = state.states_from_json(state.state_json(states))
+    return back.join(rows.select(F.col("c_custkey").alias("k"), F.concat(F.lit("p/"), "c_name").alias("source_path")), "source_path").select("k", F.col("source_path").alias("path"), "status", "chunk_ids")
