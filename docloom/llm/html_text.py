@@ -6,7 +6,8 @@ characters per tag, adjusted by how much of it is links relative to the whole bo
 density sum adds those of its children and of its own text runs. The subtree with the largest
 sum is content; the smallest density on the way from it to the body is the page's threshold, and
 parts elsewhere that reach it count as well. The subtree that holds all of these is the
-article, of which only blocks that consist of links are left out.
+article. Blocks that consist of links are left out, unless the page itself marks the subtree as
+its article.
 
 Text: character references are decoded, white space within a block becomes one space, blocks
 are trimmed and joined by newlines in page order; a line break within a block is white space.
@@ -41,8 +42,12 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 #: Elements that never hold article text.
 CUT = frozenset("script style noscript template textarea title iframe noembed noframes xmp head nav footer aside form button select option input svg canvas object applet audio video map dialog menu datalist fieldset".split())
 #: Words of class and id names, and roles, that say the same of a part.
-CUT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popups promo promos promoted promotion related recommended recommendations replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar widget widgets".split())
+CUT_WORDS = frozenset("ad adbox ads adv advert adverts advertisement advertising advertorial adsense adslot alert aside banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr leftnav login mainnav masthead megamenu menu menubar menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popups privacy promo promos promoted promotion rail reactions register related recommended recommendations replies reply respond responses search share sharing sidebar sidebars signin signup sitenav skip social sponsor sponsored sponsors subnav subscribe subscription toolbar topbar topnav widget widgets".split())
+#: A part named header is cut like the element, unless it is named as an article's.
+ARTICLE_WORDS = frozenset("article body content entry main post story title".split())
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words of wrappers, which are named after what they hold: such a part may hold the article too.
+WRAPPER_WORDS = frozenset("center col cols column columns container grid has inner layout left no off outer page right site theme two with wrap wrapper".split())
 KEEP = frozenset("html body article main".split())
 
 
@@ -50,7 +55,7 @@ class Node:
     __slots__ = ("name", "parent", "children", "chars", "tags", "links", "linked", "density", "sum", "cut", "soft")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False) -> None:
-        self.name, self.parent, self.cut, self.soft = name, parent, cut, False
+        self.name, self.parent, self.cut, self.soft = name, parent, cut, 0
         self.children: list[Node | str] = []
 
 
@@ -58,19 +63,21 @@ def _is_cut(name: str, stack: list[Node]) -> bool:
     return name in CUT or name == "header" and not any(n.name in ("article", "main") for n in stack)
 
 
-def _is_named(name: str, attrs: str) -> bool:
-    """Whether the attributes name a part that is to be cut."""
+def _is_named(name: str, attrs: str) -> int:
+    """1 where the attributes name a part that is to be cut, 2 where that may be a wrapper's name, else 0."""
     if name in KEEP or not attrs or attrs.isspace():
-        return False
+        return 0
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id") and not CUT_WORDS.isdisjoint(re.findall(r"[a-z]+", value)):
-            return True
+        if key in ("class", "id"):
+            words = set(re.findall(r"[a-z]+", value))
+            if not CUT_WORDS.isdisjoint(words) or words & {"header", "siteheader", "pageheader"} and ARTICLE_WORDS.isdisjoint(words):
+                return 1 if WRAPPER_WORDS.isdisjoint(words) else 2
         if key == "role" and value in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return 1
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 1
+    return 0
 
 
 def parse(page: str) -> Node:
@@ -132,7 +139,7 @@ def parse(page: str) -> Node:
                 stack[-1].children.append(Node(name, stack[-1]))
             continue
         node = Node(name, stack[-1], not cutting and _is_cut(name, stack))
-        node.soft = not cutting and not node.cut and _is_named(name, m["attrs"])
+        node.soft = 0 if cutting or node.cut else _is_named(name, m["attrs"])
         if not cutting:
             stack[-1].children.append(node)
         if name in RAW:
@@ -146,18 +153,34 @@ def parse(page: str) -> Node:
 
 
 def _without_named(root: Node) -> Node:
-    """Cut the parts whose attributes say so, unless they hold an article or, on a page that has none, most of the text, as a wrapper does."""
+    """Cut the parts whose attributes say so, but for those that hold an article and, on a page that has none, wrappers of
+    most of the text. Where nothing would be left, parts with most of the text stay whatever their names."""
     nodes = _order(root)
-    if any(n.soft for n in nodes):
-        size: dict[int, int] = {}
-        article: dict[int, bool] = {}
-        for n in reversed(nodes):
-            below = [c for c in n.children if isinstance(c, Node)]
-            size[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
-            article[id(n)] = n.name in ("article", "main") or any(article[id(c)] for c in below)
-        for n in nodes:
-            if n.soft and not article[id(n)] and (article[id(root)] or 2 * size[id(n)] <= size[id(root)]):
-                n.cut, n.children = True, []
+    if not any(n.soft for n in nodes):
+        return root
+    size: dict[int, int] = {}
+    article: dict[int, bool] = {}
+    for n in reversed(nodes):
+        below = [c for c in n.children if isinstance(c, Node)]
+        size[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
+        article[id(n)] = n.name in ("article", "main") or any(article[id(c)] for c in below)
+    most = {id(n) for n in nodes if 2 * size[id(n)] > size[id(root)]} if not article[id(root)] else set()
+
+    def left(node: Node, spared: int) -> int:
+        """Characters that stay if parts with most of the text are spared whose mark is at least so high."""
+        todo, total = [node], 0
+        while todo:
+            n = todo.pop()
+            if n.soft and not article[id(n)] and not (id(n) in most and n.soft >= spared):
+                continue
+            total += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+            todo += [c for c in n.children if isinstance(c, Node)]
+        return total
+
+    spared = 2 if left(root, 2) else 1
+    for n in nodes:
+        if n.soft and not article[id(n)] and not (id(n) in most and n.soft >= spared):
+            n.cut, n.children = True, []
     return root
 
 
@@ -233,14 +256,15 @@ def select(root: Node) -> Node:
 
 
 def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order, without blocks that are links only."""
+    """The texts of the blocks below a node, in page order; without blocks that are links only, unless the page marks it as its article."""
+    marked = node.name in ("article", "main")
     out: list[str] = []
     run: list[str] = []
     free = [False]  # whether the block has text outside links
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(run)).strip()
-        if text and free[0]:
+        if text and (free[0] or marked):
             out.append(text)
         run.clear()
         free[0] = False
