@@ -90,15 +90,25 @@ def heading_levels(items: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return found.groupBy(*keys, "title").agg(F.min_by(F.least("level", F.lit(6)), "item_no").cast("int").alias("level"))
 
 
-def restore_headings(blocks: DataFrame, levels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Headings whose title has another level in levels are rewritten to it."""
-    known = levels.select(*keys, F.col("title").alias("__title"), F.col("level").alias("__level"))
-    joined = blocks.withColumn("__title", F.when(F.col("type") == "heading", title_key(F.col("title")))).join(known, [*keys, "__title"], "left")
-    change = F.coalesce((F.col("__level") != 0) & (F.col("__level") != F.col("level")), F.lit(False))
+def level_maps(levels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """keys, levels: each document's levels as a map by title."""
+    return levels.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("title", "level"))).alias("levels"))
+
+
+def restore_from(blocks: DataFrame, levels: Column) -> DataFrame:
+    """Headings whose title has another level in the map are rewritten to it."""
+    known = F.when(F.col("type") == "heading", F.try_element_at(levels, title_key(F.col("title"))))
+    changed = blocks.withColumn("__level", F.when((known != 0) & (known != F.col("level")), known))
     line = F.concat(F.repeat(F.lit("#"), F.col("__level")), F.lit(" "), F.col("title"))
-    changed = joined.withColumn("__change", change).withColumn("normalized_text", F.when(F.col("__change"), line).otherwise(F.col("normalized_text")))
-    changed = changed.withColumn("level", F.when(F.col("__change"), F.col("__level")).otherwise(F.col("level"))).withColumn("restored", F.col("restored") | F.col("__change"))
-    return changed.select(*blocks.columns)
+    changed = changed.withColumn("normalized_text", F.coalesce(line, F.col("normalized_text"))).withColumn("restored", F.col("restored") | F.col("__level").isNotNull())
+    return changed.withColumn("level", F.coalesce("__level", "level")).drop("__level")
+
+
+def restore_headings(blocks: DataFrame, levels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The same from a table of levels (keys, title, level), joined by document, so that the blocks are dealt
+    by the key that windows and aggregations of documents need as well."""
+    maps = level_maps(levels, keys).withColumnRenamed("levels", "__levels")
+    return restore_from(blocks.join(maps, list(keys), "left"), F.col("__levels")).select(*blocks.columns)
 
 
 def heading_level(titles: DataFrame, levels: DataFrame, default: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -17,9 +17,13 @@ def normalize(docs: DataFrame, layouts: DataFrame | None = None, compat: bool =
 
     Restoring comes before filling, so that restored headings stay; cleaning after conversion, so that converted tables are cleaned too.
     """
-    blocks = markdown.parse_markdown(docs, compat=compat)
-    if layouts is not None:
-        blocks = layout.restore_headings(blocks, layout.heading_levels(layout.layout_items(layouts)))
+    if layouts is None:
+        blocks = markdown.parse_markdown(docs, compat=compat)
+    else:
+        # Joined before parsing: texts are shuffled once, by document, and all that follows finds its blocks there.
+        maps = layout.level_maps(layout.heading_levels(layout.layout_items(layouts))).withColumnRenamed("levels", "__levels")
+        blocks = markdown.parse_markdown(docs.join(maps, "doc_id", "left"), keys=("doc_id", "__levels"), compat=compat)
+        blocks = layout.restore_from(blocks, F.col("__levels")).drop("__levels")
     return cleanup.clean(tables.convert_tables(cleanup.fill_text(blocks)))
 
 
