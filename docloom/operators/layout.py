@@ -44,14 +44,15 @@ def heading_items(items: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     found = items.filter(is_heading(F.col("type"), F.col("text_level"))).withColumn("title", title_key(F.col("text"))).filter("title <> ''")
     found = found.withColumn("t", number_token(F.col("title"))).select(*keys, "item_no", "type", "text_level", "title", "t.hint", "t.token")
     doc, order = Window.partitionBy(*keys), Window.partitionBy(*keys, F.col("one").isNotNull()).orderBy("item_no")
+    roman = (F.col("hint") == "letter") & is_roman(F.col("token"))
+    found = found.withColumn("any_roman", F.bool_or(roman).over(doc))  # first, so that one exchange by document serves all windows
     found = found.withColumn("one", F.when((F.col("hint") == "letter") & (F.length("token") == 1), F.upper("token")))
     code = F.ascii("one")
     first, second = F.lead(code, 1).over(order), F.lead(code, 2).over(order)
     runs = F.when(F.col("one").isNotNull() & (first - code == 1) & (second - first == 1), F.array("one", F.char(first), F.char(second)))
     found = found.withColumn("run", runs)
     letters = F.array_distinct(F.flatten(F.collect_set("run").over(doc)))
-    roman = (F.col("hint") == "letter") & is_roman(F.col("token"))
-    found = found.withColumn("in_runs", letters).withColumn("any_roman", F.bool_or(roman).over(doc))
+    found = found.withColumn("in_runs", letters)
     odd = F.col("any_roman") & (F.size("in_runs") > 0) & ~F.array_contains("in_runs", F.upper("token"))
     kind = F.when(F.col("hint") == "arabic", "arabic").when(roman, "roman").when(F.col("hint") == "letter", F.when(odd & F.upper("token").rlike(r"\A[IVXLCDM]\z"), "roman").otherwise("alpha")).otherwise("")
     return found.withColumn("kind", kind).select(*keys, "item_no", "type", "text_level", "title", "hint", "token", "kind")

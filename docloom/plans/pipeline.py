@@ -15,16 +15,14 @@ KEYS = ("doc_id",)
 def normalize(docs: DataFrame, layouts: DataFrame | None = None, compat: bool = False) -> DataFrame:
     """Blocks of documents (doc_id, text): parsed, headings restored from layouts (doc_id, layout_json), tables converted, cleaned.
 
-    Restoring comes before filling, so that restored headings stay; cleaning after conversion, so that converted tables are cleaned too.
+    Restoring comes before filling, so that restored headings stay, and cleaning after conversion, so that converted tables
+    are cleaned too. Tables are converted first of all, which no heading sees: the Python step forgets how rows
+    are dealt. The blocks are then shuffled once, by document, for the levels' join, the windows and what follows.
     """
-    if layouts is None:
-        blocks = markdown.parse_markdown(docs, compat=compat)
-    else:
-        # Joined before parsing: texts are shuffled once, by document, and all that follows finds its blocks there.
-        maps = layout.level_maps(layout.heading_levels(layout.layout_items(layouts))).withColumnRenamed("levels", "__levels")
-        blocks = markdown.parse_markdown(docs.join(maps, "doc_id", "left"), keys=("doc_id", "__levels"), compat=compat)
-        blocks = layout.restore_from(blocks, F.col("__levels")).drop("__levels")
-    return cleanup.clean(tables.convert_tables(cleanup.fill_text(blocks)))
+    blocks = tables.convert_tables(markdown.parse_markdown(docs, compat=compat))
+    if layouts is not None:
+        blocks = layout.restore_headings(blocks, layout.heading_levels(layout.layout_items(layouts)))
+    return cleanup.clean(cleanup.fill_text(blocks))
 
 
 def translate(blocks: DataFrame, translator: Callable[[DataFrame], DataFrame], hard_limit: int = chunking.HARD_LIMIT) -> DataFrame:
