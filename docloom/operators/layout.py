@@ -18,9 +18,9 @@ def layout_items(docs: DataFrame, json: str = "layout_json", keys: tuple[str, ..
     The JSON is a list, or an object whose first list under one of LIST_KEYS counts; what is blank, invalid or anything
     else has no records, and what is no object is no record. Numbers are read tolerantly.
     """
-    v = F.try_parse_json(F.col(json))
-    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in LIST_KEYS))
-    rows = docs.select(*keys, F.posexplode(F.filter(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())).alias("at", "raw"))
+    parsed = docs.select(*keys, F.try_parse_json(F.col(json)).alias("__v"))
+    items = F.coalesce(*(F.try_variant_get("__v", path, "array<variant>") for path in ("$", *(f"$.{k}" for k in LIST_KEYS))))
+    rows = parsed.select(*keys, F.posexplode(F.filter(items, lambda x: F.try_variant_get(x, "$", "map<string,variant>").isNotNull())).alias("at", "raw"))
     get = lambda path, kind: F.try_variant_get(F.col("raw"), path, kind)
     boxes = F.transform(get("$.bbox", "array<variant>"), lambda x: F.try_variant_get(x, "$", "double"))
     return rows.select(
@@ -63,27 +63,34 @@ def _commonest(levels: Column) -> Column:
     return F.mode(levels, True)
 
 
+def _facts() -> dict[str, Column]:
+    """What the anchor depends on, as aggregates over a document's headings."""
+    plain = (F.col("kind") == "") & (F.col("text_level") > 0)
+    return {
+        "base": _commonest(F.when(plain, F.col("text_level"))), "all_levels": _commonest(F.when(F.col("text_level") > 0, F.col("text_level"))),
+        "first": F.min(F.when(F.col("kind") != "", F.col("item_no"))), "plain": F.collect_list(F.when(F.col("kind") == "", F.struct("item_no", "text_level"))),
+    }
+
+
+def _anchor() -> Column:
+    nested = F.exists("plain", lambda x: (x["item_no"] < F.col("first")) & (x["text_level"] >= F.col("base")))
+    known = F.when(F.col("base").isNotNull(), F.least(F.col("base") + nested.cast("int"), F.lit(6))).otherwise(F.least(F.coalesce("all_levels", F.lit(2)), F.lit(6)))
+    return F.when(F.col("first").isNull(), 2).otherwise(known).cast("int")
+
+
 def numbering_anchor(headings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, anchor: the level at which a document's numbering starts.
 
     2 without numbers. Else the commonest level of headings without numbers, one deeper where such a heading of that
     level or deeper precedes the first number; without such headings the commonest level of all. 6 at most.
     """
-    plain = (F.col("kind") == "") & (F.col("text_level") > 0)
-    facts = headings.groupBy(*keys).agg(
-        _commonest(F.when(plain, F.col("text_level"))).alias("base"), _commonest(F.when(F.col("text_level") > 0, F.col("text_level"))).alias("all_levels"),
-        F.min(F.when(F.col("kind") != "", F.col("item_no"))).alias("first"),
-        F.collect_list(F.when(F.col("kind") == "", F.struct("item_no", "text_level"))).alias("plain"),
-    )
-    nested = F.exists("plain", lambda x: (x["item_no"] < F.col("first")) & (x["text_level"] >= F.col("base")))
-    anchor = F.when(F.col("first").isNull(), 2).when(F.col("base").isNotNull(), F.least(F.col("base") + nested.cast("int"), F.lit(6))).otherwise(F.least(F.coalesce("all_levels", F.lit(2)), F.lit(6)))
-    return facts.select(*keys, anchor.cast("int").alias("anchor"))
+    return headings.groupBy(*keys).agg(*(c.alias(n) for n, c in _facts().items())).select(*keys, _anchor().alias("anchor"))
 
 
 def heading_levels(items: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, title, level: the first level found for each title, 6 at most."""
-    headings = heading_items(items, keys)
-    joined = headings.join(numbering_anchor(headings, keys), list(keys))
+    """keys, title, level: the first level found for each title, 6 at most. All by document: one exchange."""
+    doc = Window.partitionBy(*keys)
+    joined = heading_items(items, keys).withColumns({n: c.over(doc) for n, c in _facts().items()}).withColumn("anchor", _anchor())
     numbered = F.when(F.col("kind") == "arabic", F.col("anchor") + dots(F.col("token"))).when(F.col("kind") == "roman", F.col("anchor")).when(F.col("kind") == "alpha", F.col("anchor") + 1)
     stated = F.when(F.col("text_level") > 0, F.col("text_level")).otherwise(level_of_type(F.col("type")))
     level = F.when((F.col("hint") == "") & (F.col("text_level") > 2), F.col("text_level")).otherwise(F.coalesce(F.when(numbered > 0, numbered), stated))

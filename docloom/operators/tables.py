@@ -105,7 +105,7 @@ def table_rows(html: str | None) -> list[list[str]] | None:
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def html_table_rows(html: pd.Series) -> pd.Series:
-    return html.map(table_rows)
+    return html.map(lambda x: table_rows(x) if x else None)
 
 
 def rows_to_markdown(rows: Column) -> Column:
