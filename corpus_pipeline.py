@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from docloom.llm.common import stored, table
+from docloom.llm.common import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The last stage's rows. Each stage's table goes when the next one has been written; the last stage checkpoints
+    what it takes from its input."""
+    docs = stored(STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir))
+    for _, stage in STAGES[1:-1]:
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        discard(before)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    discard(docs)
+    return out

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import durable, stored, table
+from docloom.llm.common import discard, durable, stored, table
 from docloom.llm.components import components
 from docloom.llm.rolling import shingles
 
@@ -301,6 +301,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     sizes = members.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_MEMBERS)).cast("int").alias("blocks"))
     groups = members.join(sizes, "leader").select("leader", "key", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"))
     final = components(links(groups, fragments, percent))
+    discard(fragments)  # the components are checkpointed
     reps = classes.join(final, classes["key"] == final["node"], "left").select("key", "n", "rep", F.coalesce("root", "key").alias("root"))
     lowest = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = reps.join(lowest, "root").select("key", "n", "component_id")
