@@ -2,8 +2,9 @@
 
 Each text gives a few counts; fixed rules on them reject outright. What passes is scored by
 an isolation forest: random splits of the statistics isolate unusual documents on short
-paths. The forest is fitted on labelled good documents and the score beyond which a document goes is
-the one that rejects most labelled bad ones while at least KEEP of the good ones stay.
+paths. The forest is fitted on labelled good documents. The score beyond which a document goes is the one with
+the best balance of errors on the labelled ones (the share of bad ones that stay plus the share of good ones that
+go), among those at which at least KEEP of the good ones stay; without bad ones, at least KEEP_ALONE stay.
 
 The forest and its threshold come from at most MAX_LABELLED labelled documents (those with the smallest
 hashes of doc_id, a bound that does not grow with the corpus); only their statistics reach the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import table
 
 MAX_LABELLED = 20_000
-KEEP = 0.999
+KEEP, KEEP_ALONE = 0.99, 0.999
 TREES, SAMPLE, DEPTH = 100, 256, 10
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -136,16 +137,24 @@ def _average_path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def threshold(scores: np.ndarray, good: np.ndarray, keep: float = KEEP) -> float:
-    """The score beyond which rows go: the lowest at which at least a share keep of the good rows stays.
+def threshold(scores: np.ndarray, good: np.ndarray, keep: float = KEEP, alone: float = KEEP_ALONE) -> float:
+    """The score beyond which rows go: the best balance of errors at which at least a share keep of the good rows stays.
 
-    Of scores that reject the same good rows the middle of the gap to the next bad one is taken.
+    Without bad rows, the lowest at which a share alone of the good ones stays. Of equal balances the one that rejects
+    fewer good rows is taken, and of scores that reject the same rows the middle of the gap to the next one.
     """
-    own = np.sort(scores[good])
-    stay = own[: max(1, math.ceil(keep * len(own)))][-1]
-    beyond = scores[~good & (scores > stay)]
-    nearest = min([*beyond.tolist(), *own[own > stay].tolist(), stay + 0.02])
-    return float((stay + nearest) / 2)
+    own, bad = np.sort(scores[good]), np.sort(scores[~good])
+    least = max(1, math.ceil((keep if len(bad) else alone) * len(own)))
+    cuts = np.unique(scores)
+    cuts = cuts[cuts >= own[least - 1]]
+    if len(bad):
+        lost, missed = len(own) - np.searchsorted(own, cuts, "right"), np.searchsorted(bad, cuts, "right")
+        errors = lost * len(bad) + missed * len(own)
+        stay = cuts[errors == errors.min()][-1]
+    else:
+        stay = cuts[0]
+    beyond = scores[scores > stay]
+    return float((stay + min([*beyond.tolist(), stay + 0.02])) / 2)
 
 
 def _measured(docs: DataFrame) -> DataFrame:

@@ -209,6 +209,24 @@ def test_forest_on_held_out_rows():
     assert (score[good[half:]] > limit).mean() < 0.01 and (score[~good[half:]] > limit).mean() > 0.6
 
 
+def test_threshold_balances_both_classes():
+    con = duck("/root/testdata/sf0.1")
+    rows = con.execute("SELECT text, min(quality) FROM documents JOIN labels USING (doc_id) GROUP BY doc_id, text ORDER BY hash(doc_id)").fetchall()
+    s, good = np.array([quality.statistics(t.encode()) for t, _ in rows]), np.array([q for _, q in rows]) > 0
+    passed = ~quality.base_failed(s)
+    f, good = quality.features(s[passed]), good[passed]
+    half = len(f) // 2
+    for own, other in ((slice(half), slice(half, None)), (slice(half, None), slice(half))):
+        forest = quality.Forest(f[own][good[own]], np.stack([f[own].min(0), f[own].max(0)]))
+        score, limit = forest.score(f[other]), quality.threshold(forest.score(f[own]), good[own])
+        assert (score[~good[other]] > limit).mean() > 0.97 and (score[good[other]] > limit).mean() < 0.01
+    scores, good = np.array([*np.linspace(0, 0.5, 1000), 0.495, 0.51, 0.6]), np.array([True] * 1000 + [False] * 3)
+    assert 0.49 < quality.threshold(scores, good) < 0.495  # one good row in a hundred may go for a third of the bad ones
+    assert quality.threshold(scores[good], good[good]) > 0.499
+    far = np.array([*np.linspace(0, 0.5, 1000), 0.1]), np.array([True] * 1000 + [False])
+    assert (far[0][:1000] <= quality.threshold(*far)).mean() >= 0.99  # but no more than that
+
+
 def test_forest_is_repeatable(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     one, two = (quality.assess(d, labels).orderBy("doc_id").collect() for d in (docs, docs.repartition(7)))
