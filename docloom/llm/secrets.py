@@ -7,6 +7,10 @@ that fill their parents exactly, the fields of PKCS#1, PKCS#8 or SEC1), to an Op
 header with an algorithm and whose second is JSON too. The three base patterns (assign,
 access, hex) are reported as they match and stay.
 
+Line ends may be written out (backslash and n or r, as in JSON and source text) and lines may be string literals in a row.
+Lines of base64 or hex, but for the last of 16 characters at least, are read as one run without line ends and 0x prefixes,
+and keys are looked for at every place of a run; the key's own lengths say where it ends.
+
 Kinds in their order: assign, access, hex, token, pem, der, openssh.
 Offsets are code points, ends exclusive; a base64 key inside a PEM block is reported as pem only.
 
@@ -21,7 +25,9 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,10 +39,15 @@ KINDS = ("assign", "access", "hex", "token", "pem", "der", "openssh")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-#: Candidates of the method. A run of base64 or hex shorter than 40 characters holds no private key.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Candidates of the method: runs of base64 or hex, also over several lines. What is shorter than 40 characters holds no private key.
+BREAK = r"""(?:(?:\\+[rn])*(?:["'][ \t]*[+,]?)?[ \t]*[\r\n]\s*(?:(?:\+[ \t]*)?["'])?|(?:\\+[rn])+[ \t]*)"""
+RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}(?:{BREAK}[A-Za-z0-9+/_-]{{16,}})*(?:{BREAK}[A-Za-z0-9+/_-]+)?")
+PIECE = re.compile(rf"{BREAK}|[A-Za-z0-9+/_-]+")
+#: How a key begins, in hex: a sequence and its length, then a version or a sequence; and in base64 its first byte.
+DER_START = re.compile(r"30(?:[0-7][0-9a-f]|81..|82.{4}|83.{6}|84.{8})(?:02010[01]|30)")
+B64_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s(.*?)-----END \1-----", re.DOTALL)
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
 MAGIC = b"openssh-key-v1\0"
 
 
@@ -97,9 +108,13 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_openssh_key(data: bytes) -> bool:
-    """The magic, then cipher, derivation, options, a count of keys, public keys and the private part."""
+    return _openssh_end(data) == len(data)
+
+
+def _openssh_end(data: bytes) -> int | None:
+    """Where a key ends: the magic, then cipher, derivation, options, a count of keys, public keys and the private part."""
     if not data.startswith(MAGIC):
-        return False
+        return None
 
     def string(at: int) -> int | None:
         end = at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
@@ -108,15 +123,45 @@ def is_openssh_key(data: bytes) -> bool:
     at: int | None = len(MAGIC)
     for _ in range(3):
         if (at := string(at)) is None:
-            return False
+            return None
     keys = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
     if not 1 <= keys <= len(data):
-        return False
+        return None
     at += 4
     for _ in range(keys + 1):
         if (at := string(at)) is None:
-            return False
-    return at == len(data)
+            return None
+    return at
+
+
+def _keys_in(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the keys at any place of a run of base64 or hex, the outermost of nested ones."""
+    out: list[tuple[int, int, int]] = []
+
+    def look(at: int, end: int, chars: int, per: int, decode: Callable[[str], bytes | None]) -> None:
+        """A key that begins at a place: per bytes take chars characters."""
+        if out and at < out[-1][2] and out[-1][0] <= at:
+            return
+        wide = 20 * chars // per
+        head = decode(run[at : min(end, at + wide - wide % chars)]) or b""
+        if DER_START.match(head.hex()):
+            n = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
+            stop = at - (-n * chars // per)
+            if at + 40 <= stop <= end and (data := decode(run[at:stop])) and is_der_key(data):
+                out.append((at, 5, stop))
+        elif head.startswith(MAGIC):
+            rest = end - (end - at) % chars if (end - at) % chars == 1 else end
+            if (data := decode(run[at:rest])) and (n_ := _openssh_end(data)):
+                out.append((at, 6, at - (-n_ * chars // per)))
+
+    for m in B64_START.finditer(run):
+        look(m.start(), len(run), 4, 3, _b64)
+    found, out = out, []
+    for h in re.finditer(r"[0-9a-fA-F]{40,}", run):
+        for m in re.finditer(rf"(?={DER_START.pattern}|{MAGIC.hex()})", h[0].lower()):
+            at = h.start() + m.start()
+            look(at, h.end() - (h.end() - at) % 2, 2, 1, bytes.fromhex)
+    return found + [x for x in out if not any(a < x[2] and x[0] < b for a, _, b in found)]
 
 
 def is_token(header: str, payload: str) -> bool:
@@ -145,7 +190,8 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out, blocks = [], []
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"^(?:[A-Za-z-]+:[^\n]*\n)+\s*", "", m[2])
+            body = re.sub(r"""["']\s*[+,]?\s*["']""", "", re.sub(r"\\+[rn]", "\n", m[2]).replace("\\/", "/"))
+            body = re.sub(r"^(?:[A-Za-z-]+:[^\n]*\n)+\s*", "", body.lstrip())
             data = _b64(re.sub(r"\s+", "", body))
             sealed = "ENCRYPTED" in m[2]  # its contents are cipher text, without structure of their own
             if data and (is_der_key(data) or is_openssh_key(data) or (sealed and len(data) % 8 == 0)):
@@ -153,16 +199,30 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 blocks.append((m.start(), m.end()))
     out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     for m in RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in blocks):
+        if m.end() - m.start() < 40:
             continue
-        run = m[0]
-        tries = [bytes.fromhex(run)] if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run) else []
-        if (data := _b64(run)) is not None:
-            tries.append(data)
-        if any(map(is_der_key, tries)):
-            out.append((m.start(), 5, m.end()))
-        elif any(map(is_openssh_key, tries)):
-            out.append((m.start(), 6, m.end()))
+        pieces = [(p.start(), p.end()) for p in PIECE.finditer(text, m.start(), m.end()) if p[0][0].isalnum() or p[0][0] in "+/_-"]
+        found = _placed(text, pieces)
+        if any(text.startswith(("0x", "0X"), a) for a, _ in pieces[1:]):
+            bare = [(a + 2 * text.startswith(("0x", "0X"), a), b) for a, b in pieces]
+            found += [x for x in _placed(text, bare) if not any(a < x[2] and x[0] < b for a, _, b in found)]
+        out += [x for x in found if not any(a <= x[0] < b for a, b in blocks)]
+    return out
+
+
+def _placed(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """The keys in a run made of pieces of a text, by their places in the text, padding included."""
+    run = "".join(text[a:b] for a, b in pieces)
+    firsts = list(accumulate((b - a for a, b in pieces), initial=0))
+
+    def place(i: int) -> int:
+        k = bisect_right(firsts, i) - 1
+        return pieces[k][0] + i - firsts[k]
+
+    out = []
+    for a, kind, b in _keys_in(run):
+        end = place(b - 1) + 1
+        out.append((place(a), kind, end + len(re.compile("={0,2}").match(text, end)[0])))
     return out
 
 

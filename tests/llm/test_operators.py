@@ -78,6 +78,30 @@ def test_confirmed_spans():
     assert all(secrets.confirmed_spans(x) == [] for x in none)
 
 
+def wrapped(text, size, end):
+    return end.join(text[k : k + size] for k in range(0, len(text), size))
+
+
+def test_keys_in_source_text_and_over_lines():
+    body, ssh = base64.b64encode(PKCS8).decode(), base64.b64encode(SSH).decode()
+    pems = [f"-----BEGIN PRIVATE KEY-----{end}{wrapped(body, 64, end)}{end}-----END PRIVATE KEY-----{end}" for end in (r"\n", r"\r\n", r"\\n", '\\n" +\n  "')]
+    for pem in pems:
+        text = f'{{"type": "service_account", "private_key": "{pem}"}}'
+        at = text.index("-----BEGIN")
+        assert secrets.confirmed_spans(text) == [(at, 4, text.index("KEY-----", text.index("-----END")) + 8)]
+    for kind, plain in ((5, body), (6, ssh), (5, SEC1.hex()), (5, PKCS8.hex().upper()), (6, SSH.hex())):
+        for size, end in ((64, "\n"), (76, "\r\n    "), (32, "\\n"), (1000, "")):
+            for before, after in (("a key: ", " and"), ("path/", "\n"), ("-", " "), ("x_", "\nThe end"), ("\\n", "\\n"), ("0x", ",")):
+                key = wrapped(plain, size, end)
+                text = f"é {before}{key}{after} more"
+                at = text.index(key)
+                assert secrets.confirmed_spans(text) == [(at, kind, at + len(key))], (text, size)
+    lines = "0x" + wrapped(PKCS8.hex(), 64, "\n0x")
+    assert secrets.confirmed_spans(lines) == [(2, 5, len(lines))]
+    cut = base64.b64encode(PKCS8[:-3]).decode()
+    assert all(secrets.confirmed_spans(wrapped(x, 64, "\n")) == [] for x in (base64.b64encode(b"x" * 300).decode(), "30" * 200, "MIIC" * 200)) and not any(a == 0 for a, _, _ in secrets.confirmed_spans(cut))
+
+
 def test_base_spans():
     text = 'Token = "abc123" PASSWORD:"longenough" api-key=nope1234 api_key=\'12345678\' ſecret=12345678 AKIAABCDEFGHIJKL AKIAAKIA deadbeef ' + "0f" * 16 + "Z" + "a" * 31
     want = []
