@@ -12,8 +12,11 @@ Values are equal when their digits are: "4417 7442 8035 1547" and "4417744280351
 Rules: a card number has 13 to 19 digits, in groups joined by single spaces or hyphens or
 in one; a phone number has a + and a country code of one to three digits, or a bracketed
 area code, and 7 to 14 further digits; dates are year-month-day, or day and month in either order, and
-years from 1900 to 2099. Where kinds overlap, the first listed wins. Values that fail
-validation are left as they are.
+years from 1900 to 2099. Where kinds overlap, the first listed wins, but a date beside a card number is a date. Values that fail
+validation are left as they are. Where groups of digits (or of an IBAN's characters) stand in a row, the longest
+part between spaces or hyphens that is valid is a value, then the longest of what is left, of equal ones the
+first. Where the pseudonyms would make another part valid, the permutation goes on until the same parts
+are the values again: reveal() finds them, and only there does the neighbourhood decide on the pseudonym.
 
 Defined results: a null text stays null and has no values; repeated rows are treated alike. All
 other text stays. Each row of the input gives a row; other columns are ignored by op7.
@@ -36,9 +39,9 @@ KINDS = ("email", "iban", "ip", "card", "date", "phone")
 DEMO_KEY = b"docloom demonstration key, replace"
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![A-Za-z0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]+(?![A-Za-z0-9])(?: [A-Z0-9]+(?![A-Za-z0-9]))*", re.ASCII)
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", re.ASCII)
-CARD = re.compile(r"(?<![\d+-])\d(?:[ -]?\d){12,18}(?![ -]?\d)", re.ASCII)
+CARD = re.compile(r"(?<!\d)\d+(?:[ -]\d+)*", re.ASCII)
 DATE = re.compile(r"(?<![\d./-])(?:((?:19|20)\d\d)([-/.])(\d\d?)\2(\d\d?)|(\d\d?)([-/.])(\d\d?)\6((?:19|20)\d\d))(?![\d/-]|\.\d)", re.ASCII)
 PHONE = re.compile(r"(?<![\d+])(?:\+(\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)", re.ASCII)
 
@@ -129,14 +132,17 @@ def email(m: re.Match, key: bytes, back: bool) -> str | None:
     return f"{_mixed(m[1], key, 'email', back)}@{m[2]}"
 
 
-def iban(m: re.Match, key: bytes, back: bool) -> str | None:
+def is_iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and re.match(r"[A-Z]{2}\d\d", plain, re.ASCII) is not None and text[:4].isalnum() and _mod97(plain) == 1
+
+
+def iban(text: str, key: bytes, back: bool) -> str:
     """The account part changes within its digits and letters; country and length stay, check digits are new."""
-    plain = m[0].replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _mod97(plain) != 1:
-        return None
+    plain = text.replace(" ", "")
     account = _mixed(plain[4:], key, f"iban{plain[:2]}", back)
     check = 98 - _mod97(f"{plain[:2]}00{account}")
-    return _refill(m[0], f"{plain[:2]}{check:02d}{account}", str.isalnum)
+    return _refill(text, f"{plain[:2]}{check:02d}{account}", str.isalnum)
 
 
 def ip(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -148,13 +154,63 @@ def ip(m: re.Match, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-def card(m: re.Match, key: bytes, back: bool) -> str | None:
+def is_card(text: str) -> bool:
+    plain = re.sub(r"[ -]", "", text)
+    return 13 <= len(plain) <= 19 and luhn_ok(plain)
+
+
+def card(text: str, key: bytes, back: bool) -> str:
     """All digits but the check digit."""
-    plain = re.sub(r"[ -]", "", m[0])
-    if not luhn_ok(plain):
-        return None
-    new = digits(plain[:-1], key, "card", back)
-    return _refill(m[0], new + luhn_digit(new))
+    new = digits(re.sub(r"[ -]", "", text)[:-1], key, "card", back)
+    return _refill(text, new + luhn_digit(new))
+
+
+def _values(groups: list[tuple[int, int]], text: str, longest: int, valid: Callable[[str], bool]) -> list[tuple[int, int]]:
+    """The valid parts of a row of groups, longest first, of equal ones the first."""
+    parts = []
+    for i, (a, _) in enumerate(groups):
+        size = 0
+        for k in range(i, len(groups)):
+            b = groups[k][1]
+            size += b - groups[k][0]
+            if size > longest:
+                break
+            if size >= 13 and valid(text[a:b]):
+                parts.append((-size, i, k))
+    free, out = [True] * len(groups), []
+    for _, i, k in sorted(parts):
+        if all(free[i : k + 1]):
+            free[i : k + 1] = [False] * (k + 1 - i)
+            out.append((groups[i][0], groups[k][1]))
+    return sorted(out)
+
+
+def _grouped(rows: re.Pattern, longest: int, valid: Callable[[str], bool], change: Callable[[str, bytes, bool], str]) -> Callable:
+    """Finds values in rows of groups: (start, end, pseudonym) of each, beside the spans that are taken."""
+
+    def find(text: str, taken: list[tuple[int, int]], key: bytes, back: bool) -> Iterator[tuple[int, int, str]]:
+        for m in rows.finditer(text):
+            if m.end() - m.start() < 13:
+                continue
+            start, row = m.start(), m[0]
+            own = [(a - start, b - start) for a, b in taken if a < m.end() and m.start() < b]
+            blocks: list[list[tuple[int, int]]] = [[]]
+            for g in re.finditer(r"[A-Z0-9]+", row):
+                if any(g.start() < b and a < g.end() for a, b in own) or rows is CARD and g.start() == 0 and text[max(start - 1, 0) : start] in ("+", "-"):
+                    blocks.append([])
+                else:
+                    blocks[-1].append(g.span())
+            for groups in blocks:
+                spans = _values(groups, row, longest, valid)
+                new = row
+                while spans:
+                    for a, b in spans:
+                        new = new[:a] + change(new[a:b], key, back) + new[b:]
+                    if _values(groups, new, longest, valid) == spans:
+                        break
+                yield from ((start + a, start + b, new[a:b]) for a, b in spans)
+
+    return find
 
 
 def date(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -195,7 +251,7 @@ def phone(m: re.Match, key: bytes, back: bool) -> str | None:
     return ("+" + code if code else "") + _refill(rest, digits(plain, key, f"phone{code}", back))
 
 
-RULES = ((EMAIL, email), (IBAN, iban), (IP, ip), (CARD, card), (DATE, date), (PHONE, phone))
+RULES = ((EMAIL, email), (IBAN, _grouped(IBAN, 34, is_iban, iban)), (IP, ip), (CARD, _grouped(CARD, 19, is_card, card)), (DATE, date), (PHONE, phone))
 
 
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
@@ -206,6 +262,12 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     for kind, (pattern, change) in enumerate(RULES):
         if kind == 0 and "@" not in text:
             continue
+        if pattern in (IBAN, CARD):
+            taken = [(a, b) for a, _, b, _ in found]
+            if pattern is CARD:
+                taken += [m.span() for m in DATE.finditer(text) if date(m, key, back) is not None]
+            found += [(a, kind, b, new) for a, b, new in change(text, taken, key, back)]
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             if any(a < y and x < b for x, _, y, _ in found) or (new := change(m, key, back)) is None:
