@@ -1,7 +1,9 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; what is never article text (scripts, menus, forms, parts named as adverts,
-notices or comments, hidden parts) is cut first. Every node then has its composite density:
+A page becomes a tree; what is never article text (scripts, menus, controls, parts named as adverts,
+notices or comments, hidden parts) is cut first. A form goes where it is mostly controls, but not with most of
+the text. Inside a marked article, names that may be a topic's (an id "privacy", a class "notice") cut only what
+consists mostly of links, and never headings. Every node then has its composite density:
 characters per tag, adjusted by how much of it is links relative to the whole body. Each node's
 density sum adds those of its children and of its own text runs. The subtree with the largest
 sum is content; the smallest density on the way from it to the body is the page's threshold, and
@@ -40,9 +42,16 @@ CLOSES_P = frozenset("address article aside blockquote center dd details dialog
 #: An element ends open ones of these names, but not beyond the limits named after them.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody"}, {"table"}), "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 #: Elements that never hold article text.
-CUT = frozenset("script style noscript template textarea title iframe noembed noframes xmp head nav footer aside form button select option input svg canvas object applet audio video map dialog menu datalist fieldset".split())
+CUT = frozenset("script style noscript template textarea title iframe noembed noframes xmp head nav footer aside button select option input svg canvas object applet audio video map dialog menu datalist fieldset".split())
 #: Words of class and id names, and roles, that say the same of a part.
 CUT_WORDS = frozenset("ad adbox ads adv advert adverts advertisement advertising advertorial adsense adslot alert aside banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus dropdown feedback footer gdpr leftnav login mainnav masthead megamenu menu menubar menus modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup popups privacy promo promos promoted promotion rail reactions register related recommended recommendations replies reply respond responses search share sharing sidebar sidebars signin signup sitenav skip social sponsor sponsored sponsors subnav subscribe subscription toolbar topbar topnav widget widgets".split())
+#: Those that may be a topic's or a paragraph's inside an article, as a class; as an id only the next ones may not.
+TOPIC_WORDS = frozenset("advertising alert aside banner banners comment consent cookie cookies copyright disclaimer discussion feedback menu menus navigation notice notices privacy promotion rail reactions register related recommended recommendations reply responses search sharing skip social subscription".split())
+ID_WORDS = frozenset("ad adbox ads adsense adslot advert advertisement adverts commentlist comments disqus leftnav mainnav menubar nav navbar respond sidebar sitenav subnav toolbar topnav".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("button input select textarea".split())
+#: A form with so many characters for each control, and as many again, is not mostly controls.
+FORM_CHARS = 100
 #: A part named header is cut like the element, unless it is named as an article's.
 ARTICLE_WORDS = frozenset("article body content entry main post story title".split())
 CUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -52,10 +61,11 @@ KEEP = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "chars", "tags", "links", "linked", "density", "sum", "cut", "soft")
+    __slots__ = ("name", "parent", "children", "chars", "tags", "links", "linked", "density", "sum", "cut", "soft", "sure", "controls")
 
     def __init__(self, name: str, parent: Node | None, cut: bool = False) -> None:
         self.name, self.parent, self.cut, self.soft = name, parent, cut, 0
+        self.sure, self.controls = False, 0
         self.children: list[Node | str] = []
 
 
@@ -63,21 +73,21 @@ def _is_cut(name: str, stack: list[Node]) -> bool:
     return name in CUT or name == "header" and not any(n.name in ("article", "main") for n in stack)
 
 
-def _is_named(name: str, attrs: str) -> int:
-    """1 where the attributes name a part that is to be cut, 2 where that may be a wrapper's name, else 0."""
+def _is_named(name: str, attrs: str) -> tuple[int, bool]:
+    """1 where the attributes name a part that is to be cut, 2 where that may be a wrapper's name, else 0; whether that is sure inside an article."""
     if name in KEEP or not attrs or attrs.isspace():
-        return 0
+        return 0, False
+    soft, sure = 0, False
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if key in ("class", "id"):
             words = set(re.findall(r"[a-z]+", value))
             if not CUT_WORDS.isdisjoint(words) or words & {"header", "siteheader", "pageheader"} and ARTICLE_WORDS.isdisjoint(words):
-                return 1 if WRAPPER_WORDS.isdisjoint(words) else 2
-        if key == "role" and value in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return 1
-        if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return 1
-    return 0
+                soft = soft or (1 if WRAPPER_WORDS.isdisjoint(words) else 2)
+                sure = sure or bool(words & CUT_WORDS - TOPIC_WORDS if key == "class" else words & ID_WORDS and name not in HEADINGS)
+        if key == "role" and value in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return soft or 1, True
+    return soft, sure
 
 
 def parse(page: str) -> Node:
@@ -134,12 +144,20 @@ def parse(page: str) -> Node:
                     close_to(k)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
+        if name in CONTROLS and not re.search(r"""type\s*=\s*["']?hidden""", m["attrs"] or "", re.IGNORECASE):
+            for n in reversed(stack):
+                if n.name == "form":
+                    n.controls += 1
+                    break
         if name in VOID:
             if not cutting and name in ("br", "hr"):
                 stack[-1].children.append(Node(name, stack[-1]))
             continue
         node = Node(name, stack[-1], not cutting and _is_cut(name, stack))
-        node.soft = 0 if cutting or node.cut else _is_named(name, m["attrs"])
+        if not cutting and not node.cut:
+            node.soft, node.sure = _is_named(name, m["attrs"])
+            if name == "form":
+                node.soft = node.soft or 2
         if not cutting:
             stack[-1].children.append(node)
         if name in RAW:
@@ -153,33 +171,56 @@ def parse(page: str) -> Node:
 
 
 def _without_named(root: Node) -> Node:
-    """Cut the parts whose attributes say so, but for those that hold an article and, on a page that has none, wrappers of
-    most of the text. Where nothing would be left, parts with most of the text stay whatever their names."""
+    """Cut the parts whose attributes say so, and forms, but for those that hold an article and, on a page that has none, wrappers of
+    most of the text. Where nothing would be left, parts with most of the text stay whatever their names. Inside an article
+    only sure names and parts that are mostly links go; forms of mostly text stay everywhere."""
     nodes = _order(root)
     if not any(n.soft for n in nodes):
         return root
     size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    marked: dict[int, bool] = {}  # holds an article element
     article: dict[int, bool] = {}
     for n in reversed(nodes):
         below = [c for c in n.children if isinstance(c, Node)]
         size[id(n)] = sum(len(c.strip()) for c in n.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
+        linked[id(n)] = size[id(n)] if n.name == "a" else sum(linked[id(c)] for c in below)
+        marked[id(n)] = n.name == "article" or any(marked[id(c)] for c in below)
         article[id(n)] = n.name in ("article", "main") or any(article[id(c)] for c in below)
+    inside: dict[int, int] = {}  # the size of the article around a node
+    for n in nodes:
+        up = n.parent
+        inside[id(n)] = 0 if up is None else inside[id(up)] or (size[id(up)] if up.name == "article" or up.name == "main" and not marked[id(up)] else 0)
     most = {id(n) for n in nodes if 2 * size[id(n)] > size[id(root)]} if not article[id(root)] else set()
 
-    def left(node: Node, spared: int) -> int:
-        """Characters that stay if parts with most of the text are spared whose mark is at least so high."""
-        todo, total = [node], 0
+    def goes(n: Node, spared: int) -> bool:
+        """Whether a node is cut if parts with most of the text are spared whose mark is at least so high."""
+        if not n.soft or article[id(n)] or id(n) in most and n.soft >= spared:
+            return False
+        if n.name == "form" and not n.sure and size[id(n)] - linked[id(n)] >= FORM_CHARS * (n.controls + 1):
+            return False
+        if not inside[id(n)]:
+            return True
+        if n.sure:
+            return True
+        if n.name == "form":
+            return 2 * size[id(n)] <= inside[id(n)]
+        return n.name not in HEADINGS and 2 * linked[id(n)] > size[id(n)]
+
+    def left(spared: int) -> int:
+        """Characters that stay."""
+        todo, total = [root], 0
         while todo:
             n = todo.pop()
-            if n.soft and not article[id(n)] and not (id(n) in most and n.soft >= spared):
+            if goes(n, spared):
                 continue
             total += sum(len(c.strip()) for c in n.children if isinstance(c, str))
             todo += [c for c in n.children if isinstance(c, Node)]
         return total
 
-    spared = 2 if left(root, 2) else 1
+    spared = 2 if left(2) else 1
     for n in nodes:
-        if n.soft and not article[id(n)] and not (id(n) in most and n.soft >= spared):
+        if goes(n, spared):
             n.cut, n.children = True, []
     return root
 

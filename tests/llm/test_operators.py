@@ -128,6 +128,20 @@ def test_html():
     assert html_text.main_text("<table><tr><td>x<td>y<tr><td>z</table>") == "x\ny\nz"
 
 
+def test_forms_and_names_of_article_parts():
+    para = "A sentence of the article that is long enough to be real text. " * 3
+    one = para.strip()
+    assert html_text.main_text(f"<body><form id=form1><input type=hidden name=v><h1>Title</h1><p>{para}<p>{para}<input type=submit></form></body>") == f"Title\n{one}\n{one}"
+    assert html_text.main_text(f"<body><div><p>{para}<p>{para}<form><p>{para}<p>{para}<input></form><form>Your mail <input><input><button>Go</button></form></div></body>") == "\n".join([one] * 4)
+    parts = "<h2 id=related-work>Related</h2>", f"<section id=discussion><p>{para}</p></section>", "<h2 id=privacy>Privacy</h2>", f"<div class=notice>{para}</div>", f"<p class=search>{para}</p>", "<h2 class=header id=comments>Comments</h2>"
+    want = "\n".join(re.sub(r"<[^>]*>", "", x).strip() for x in parts)
+    for name in ("article", "main"):
+        assert html_text.main_text(f"<body><{name}>{''.join(parts)}</{name}><div class=comments>{para}</div></body>") == want
+        cut = "<div class=ad>Buy</div><div class='related'><a href=x>Other page</a> <a href=y>Third page</a></div><p hidden>no</p><div id=comments><p>reader</p></div><form>mail <input><button>ok</button></form><div class=share-buttons>Share</div>"
+        assert html_text.main_text(f"<body><{name}><p>{para}</p>{cut}</{name}></body>") == one
+    assert html_text.main_text(f"<main><article><p>{para}</article><section class=discussion><p>{para * 5}</section></main>") == one
+
+
 def test_html_of_pages():
     for (page,) in duck(SF).execute("SELECT html FROM pages").fetchall():
         article = re.search(r"(?s)<article>(.*)</article>", page)[1]
