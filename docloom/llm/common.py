@@ -57,6 +57,19 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def partitions_for(df: DataFrame, column: str, per: int) -> int:
+    """How many partitions hold about per bytes each of what df is made from; the session's shuffle partitions at least.
+
+    The size is that of the tables that are read, as the optimizer knows it; where it doesn't, the column is measured.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+    return max(least, -(-size // per))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Text that is all ASCII takes the cheaper built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -3,28 +3,31 @@
 A byte goes when it lies in a LENGTH-byte string that also starts in a document with a smaller doc_id. In
 suffix order, the earlier matches of a string are its previous and next smaller positions: the
 nearest suffixes of smaller documents. The longer of its common prefixes with these two is its
-longest previous factor, and the string has an earlier copy when that reaches LENGTH.
+longest previous factor, and the string has an earlier copy when that reaches LENGTH. Every removal comes from
+such an array over the bytes themselves; hashes only say which bytes need not be compared.
 
 No suffix array of the whole corpus is made. Each window of LENGTH bytes is assigned to its anchor,
 the leftmost of its GRAM-byte substrings with the smallest hash; equal windows have equal anchors,
-so windows only need to be compared where anchors agree.
-
-1. Consecutive windows of one anchor form a context. Of each context a 64-bit number and its document are
-   sent to the anchor's bucket, the smallest document of a batch only: the others know their
-   copy already.
-2. A bucket tells documents of contexts that are whole copies of smaller documents' ones, and asks for the
-   bytes where an anchor stands in different contexts.
-3. Only those bytes are gathered, by anchor, and put in suffix order; the LPF array says which of their
-   windows have earlier matches. Contexts of anchors with more than HOT of them are dealt window by
-   window instead, so that a line that very many documents share is no group in one task.
-4. Documents meet both answers and drop the bytes that their windows cover.
-
-Texts are shuffled once, by document, and read three times from there. Strings are judged on the
-input; matches within one document don't count and none crosses documents.
+so windows only need to be compared where anchors agree. Consecutive windows of one anchor form a context.
+Documents are dealt to groups by doc_id, a group for each partition.
+
+1. A group sends each of its anchors once, 32 bits of it, to the bucket that the others give.
+2. A bucket answers which anchors more than one document has, and which of them are crowded: they stand in more than HOT
+   different contexts in all.
+3. A group compares its contexts of such anchors with one another. What has an earlier copy there goes no
+   further. The rest is sent to the anchor's bucket; of crowded anchors window by window, dealt by content, so that
+   a line or phrase that very many documents share is one row for each group and no bucket's burden.
+4. Buckets compare what they get in the same way and answer the groups.
+5. A group drops the bytes that windows with earlier copies cover.
+
+In 3 and 4, whole contexts are put in suffix order first, and only the windows of those that are no whole copies after
+them. The texts are shuffled once, by group, and read three times from there. The number of groups grows with the
+input (PART_BYTES), and so does that of buckets. Strings are judged on the input; matches within one document don't
+count and none crosses documents.
 
 Defined results: a null text is empty; shorter ones than LENGTH stay; a null doc_id is smaller than all
-others; rows with equal doc_id don't match one another. Other columns are ignored. Whole contexts are
-equal when 64-bit numbers (24 bits of the anchor and 40 of the context, in the same bucket) are.
+others; rows with equal doc_id don't match one another. doc_id is an integer column; others are an error. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,26 +40,51 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table
+from docloom.llm.common import partitions_for, table
 from docloom.llm.rolling import mix, prefixes, ranges
 
 LENGTH = 50
 GRAM = 16
 HOT = 4096
-BLOCK = 50_000
+#: Rows that are put in suffix order at once, and bytes whose anchors are found at once.
+BLOCK, CHUNK = 50_000, 1 << 18
+#: Bytes of input for each group and bucket.
+PART_BYTES = 64 << 20
 NULL_ID = -(2**63)
-LOW40 = np.uint64((1 << 40) - 1)
+LOCAL = -1
+
+
+def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, a hash of the bytes, text number, first and last window of each context of the texts, in order."""
+    out: list[tuple[np.ndarray, ...]] = []
+    held: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, raw in enumerate(texts):
+        if len(raw) < length:
+            continue
+        for at in range(0, len(raw) - length + 1, CHUNK):  # a piece ends where the last window that starts in it does
+            piece = raw[at : at + CHUNK + length - 1]
+            held.append((i, at, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                out.append(_contexts(held, length, gram))
+                held, size = [], 0
+    if held:
+        out.append(_contexts(held, length, gram))
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def contexts(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, number, first and last window of each context of a text."""
-    if len(data) < length:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none.view(np.uint64), none, none
+def _contexts(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
+    sizes = np.array([len(p) for _, _, p in pieces])
+    ends = np.cumsum(sizes)
+    n, wide = len(data) - length + 1, length - gram + 1
     p = prefixes(data)
     starts = np.arange(len(data) - gram + 1)
     h = ranges(p, starts, starts + gram)
-    wide, n = length - gram + 1, len(data) - length + 1
     at, step = starts, 1
     while 2 * step <= wide:
         a, b = at[:-step], at[step:]
@@ -64,11 +92,13 @@ def contexts(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
         step *= 2
     a, b = at[:n], at[wide - step : wide - step + n]
     at = np.where(h[b] < h[a], b, a)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:], n] - 1
-    anchor = h[at[first]]
-    whole = mix(ranges(p, first, last + length) ^ ((at[first] - first).astype(np.uint64) << np.uint64(56)))
-    return anchor, (anchor << np.uint64(40)) | (whole & LOW40), first, last
+    inside = starts[:n] + length <= np.repeat(ends, sizes)[:n]
+    new = np.r_[True, (at[1:] != at[:-1]) | ~inside[:-1]]
+    first = np.flatnonzero(inside & new)
+    last = np.flatnonzero(inside & np.r_[new[1:] | ~inside[1:], True])
+    piece = np.searchsorted(ends, first, "right")
+    before = (ends - sizes)[piece] - np.array([a for _, a, _ in pieces], np.int64)[piece]
+    return h[at[first]], ranges(p, first, last + length), np.array([i for i, _, _ in pieces], np.int64)[piece], first - before, last - before
 
 
 def previous_factors(docs: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -130,7 +160,7 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
+def _windows_hit(docs: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
     """For each text a number whose bit j says that its window j also is in a text of a smaller document."""
     sizes = np.array([len(t) - length + 1 for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -143,239 +173,308 @@ def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.nd
     by_hash = np.argsort(h, kind="stable")
     same = h[by_hash[1:]] == h[by_hash[:-1]]
     keep = np.sort(by_hash[np.r_[False, same] | np.r_[same, False]])
-    own, j, start = own[keep], j[keep], start[keep]
-    order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
-    rank = np.unique(docs, return_inverse=True)[1]
-    hit = previous_factors(rank[own[order]].astype(np.int32), lcp) >= length
     out = np.zeros(len(texts), np.uint64)
-    at = order[hit]
-    np.bitwise_or.at(out, own[at], np.uint64(1) << j[at].astype(np.uint64))
+    if len(keep):
+        own, j, start = own[keep], j[keep], start[keep]
+        order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
+        hit = previous_factors(docs[own[order]], lcp) >= length
+        at = order[hit]
+        np.bitwise_or.at(out, own[at], np.uint64(1) << j[at].astype(np.uint64))
     return out
 
 
-def _send(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Blobs for buckets: number of documents, ids, contexts' numbers and their documents; and one (bucket -1) of
-    copies within the batch: documents and numbers."""
-    ids = batch.column("k").to_numpy()
-    numbers, owner, anchors = [], [], []
-    for i, raw in enumerate(batch.column("raw").to_pylist()):
-        a, v, _, _ = contexts(np.frombuffer(raw or b"", np.uint8))
-        anchors.append(a)
-        numbers.append(v)
-        owner.append(np.full(len(v), i, np.int64))
-    a, v, own = np.concatenate(anchors), np.concatenate(numbers), np.concatenate(owner)
-    bucket = ((a >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((ids[own], v, bucket))
-    v, own, bucket = v[order], own[order], bucket[order]
-    first = np.r_[True, (v[1:] != v[:-1]) | (bucket[1:] != bucket[:-1])] if len(v) else np.zeros(0, bool)
-    run = np.cumsum(first) - 1
-    least = ids[own[first]][run] if len(v) else v
-    copies = ids[own] > least
-    if copies.any():
-        yield -1, _pairs(ids[own[copies]], v[copies])
-    v, own, bucket = v[first], own[first].astype("<u2"), bucket[first]
-    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(v)] if len(v) else np.zeros(1, np.int64)
-    head = np.array([len(ids)], "<u4").tobytes() + ids.astype("<i8").tobytes()
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield int(bucket[i]), head + v[i:j].tobytes() + own[i:j].tobytes()
-
-
-def _pairs(ids: np.ndarray, v: np.ndarray) -> bytes:
-    return np.rec.fromarrays([ids.astype("<i8"), v.astype("<u8")], names="k,v").tobytes()
-
-
-def _rows(schema: pa.Schema, rows: Iterator[tuple], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
+    """For each text a number whose bit j says that its window j also is in a text of a smaller document.
+
+    Texts are put in suffix order whole first: where the longest previous factor of one reaches its end, all its windows have
+    earlier copies, and whatever is equal to one of them has an earlier copy in that smaller document too.
+    """
+    out = np.zeros(len(texts), np.uint64)
+    if len(texts) < 2:
+        return out
+    rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)
+    sizes = np.array([len(t) for t in texts], np.int32)
+    rows = np.zeros((len(texts), int(sizes.max())), np.uint8)
+    rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    order, lcp = suffix_order(rows)
+    ordered = sizes[order]
+    lcp = np.minimum(lcp, np.minimum(ordered, np.r_[0, ordered[:-1]])).astype(np.int32)  # what fills rows up is no text
+    whole = order[previous_factors(rank[order], lcp) >= ordered]
+    out[whole] = (np.uint64(1) << (sizes[whole] - length + 1).astype(np.uint64)) - np.uint64(1)
+    rest = np.flatnonzero(out == 0)
+    if len(rest) > 1:
+        out[rest] = _windows_hit(rank[rest], [texts[i] for i in rest.tolist()], length)
+    return out
+
+
+def compared(docs: np.ndarray, parts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The same in blocks that end between parts: windows are only equal where parts are."""
+    out = np.zeros(len(texts), np.uint64)
+    order = np.argsort(parts, kind="stable")
+    ends = np.flatnonzero(np.r_[parts[order][1:] != parts[order][:-1], True]) + 1 if len(order) else np.zeros(0, np.int64)
+    start = 0
+    for end in ends[np.r_[np.diff(ends // BLOCK) > 0, True]].tolist() if len(ends) else []:
+        own = order[start:end]
+        start = end
+        out[own] = earlier(docs[own], [texts[i] for i in own.tolist()])
+    return out
+
+
+def _blob(*columns: np.ndarray) -> bytes:
+    """Columns of numbers of one length, after that length."""
+    return b"".join((np.array([len(columns[0])], "<u4").tobytes(), *(c.tobytes() for c in columns)))
+
+
+def _columns(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], int]:
+    """The columns, and where they end."""
+    n, at, out = int(np.frombuffer(blob, "<u4", 1)[0]), 4, []
+    for kind in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return out, at
+
+
+SENT = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("data", pa.binary())])
+SENT_DDL = "bucket int, part int, data binary"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((),) * 3, SENT, strict=True)], schema=SENT)
+
+
+def _batches(rows: Iterator[tuple], size: int = 256) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     for row in rows:
         held.append(row)
         if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            yield from _table(held).to_batches()
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        yield from _table(held).to_batches()
+
+
+class _Group:
+    """The documents of a group, in an order that doesn't depend on how they arrive."""
+
+    def __init__(self, docs: pa.Table) -> None:
+        ids = docs.column("k").to_numpy()
+        raws = [x or b"" for x in docs.column("raw").to_pylist()]
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i], raws[i]))
+        self.ids, self.raws = ids[self.order], [raws[i] for i in self.order]
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
-WHOLE, WANT, MANY = range(3)
+def _route(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of an anchor, and the 32 bits it is known by there."""
+    return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), (anchor & np.uint64(0xFFFFFFFF)).astype("<u4")
+
+
+def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, start and end of the runs of a sorted column."""
+    edges = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)] if len(bucket) else np.zeros(1, np.int64)
+    for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[i]), i, j
+
+
+def _send(buckets: int):
+    """Step 1: a row for each bucket with the group's anchors, in how many contexts they stand and whether several documents have them."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        group = _Group(docs)
+        anchor, whole, own, _, _ = contexts(group.raws)
+        if not len(anchor):
+            return _table([])
+        part = docs.column("part")[0].as_py()
+        bucket, name = _route(anchor, buckets)
+        order = np.lexsort((whole, name, bucket))
+        bucket, name, whole, ids = bucket[order], name[order], whole[order], group.ids[own[order]]
+        new = np.r_[True, (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])]
+        start = np.flatnonzero(new)
+        several = np.minimum.reduceat(ids, start) < np.maximum.reduceat(ids, start)
+        kinds = np.add.reduceat((new | np.r_[True, whole[1:] != whole[:-1]]).astype(np.int64), start)
+        state = np.minimum(kinds, 0x7FFF).astype("<u2") | (several.astype("<u2") << np.uint16(15))
+        bucket, name = bucket[start], name[start]
+        return _table([(b, part, _blob(name[i:j], state[i:j])) for b, i, j in _cuts(bucket)])
+
+    return run
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, for all buckets of a task."""
-    groups: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    local: list[np.ndarray] = []
+    """Step 2, for all buckets of a task: which anchors of a group others have too, and whether they are crowded."""
+    groups: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            if bucket < 0:
-                local.append(np.frombuffer(data, np.dtype([("k", "<i8"), ("v", "<u8")])))
-                continue
-            n = int(np.frombuffer(data, "<u4", 1)[0])
-            ids = np.frombuffer(data, "<i8", n, 4)
-            rows = (len(data) - 4 - 8 * n) // 10
-            groups.setdefault(bucket, []).append((np.frombuffer(data, "<u8", rows, 4 + 8 * n), ids[np.frombuffer(data, "<u2", rows, 4 + 8 * n + 8 * rows)]))
-    whole_k, whole_v = [x["k"] for x in local], [x["v"] for x in local]
-    want_k, want_v, hot_k, hot_v = [], [], [], []
-    for bucket in sorted(groups):
-        v, k = (np.concatenate(x) for x in zip(*groups.pop(bucket), strict=True))
-        order = np.lexsort((k, v))
-        v, k = v[order], k[order]
-        first = np.r_[True, v[1:] != v[:-1]]
-        run = np.cumsum(first) - 1
-        later = k > k[first][run]
-        whole_k.append(k[later])
-        whole_v.append(v[later])
-        v, k = v[first], k[first]  # a row for each context, with its smallest document
-        anchor = v >> np.uint64(40)
-        start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-        size = np.diff(np.r_[start, len(v)])
-        differ = np.repeat(np.minimum.reduceat(k, start) < np.maximum.reduceat(k, start), size)
-        big = np.repeat(size > HOT, size)
-        for pick, ks, vs in ((differ & ~big, want_k, want_v), (differ & big, hot_k, hot_v)):
-            ks.append(k[pick])
-            vs.append(v[pick])
-    for kind, (ks, vs) in enumerate(((whole_k, whole_v), (want_k, want_v), (hot_k, hot_v))):
-        for k, v in zip(ks, vs, strict=True):
-            for i in range(0, len(k), 50_000):
-                part = k[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(v[i : i + 50_000].view(np.int64)), pa.array(np.full(len(part), kind, np.int8))], names=["d", "v", "kind"])
+        for bucket, part, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "data")), strict=True):
+            groups.setdefault(bucket, []).append((part, data))
+
+    def answers() -> Iterator[tuple]:
+        for bucket in sorted(groups):
+            blobs = groups.pop(bucket)
+            names, states = (np.concatenate(x) for x in zip(*(_columns(data, "<u4", "<u2")[0] for _, data in blobs), strict=True))
+            own = np.repeat(np.arange(len(blobs)), [int(np.frombuffer(data, "<u4", 1)[0]) for _, data in blobs])
+            order = np.argsort(names, kind="stable")
+            new = np.r_[True, names[order][1:] != names[order][:-1]] if len(order) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            run = np.cumsum(new) - 1
+            state = states[order]
+            shared = (np.add.reduceat(np.ones(len(order), np.int64), start) > 1) | (np.maximum.reduceat(state, start) >= 1 << 15)
+            crowded = np.add.reduceat((state & np.uint16(0x7FFF)).astype(np.int64), start) > HOT
+            want, hot = np.zeros(len(names), bool), np.zeros(len(names), bool)
+            want[order], hot[order] = shared[run], (shared & crowded)[run]
+            names, hot, own = names[want], hot[want], own[want]
+            for at, i, j in _cuts(own):
+                yield bucket, blobs[at][0], _blob(names[i:j], hot[i:j].astype(np.uint8))
+
+    yield from _batches(answers())
 
 
 def _gather(buckets: int):
-    """Step 3, sending: the bytes of contexts that were asked for, by anchor, or by window where there are many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                held: dict[int, list[bytes]] = {}
-                for k, raw, want, hot in zip(*(batch.column(c).to_pylist() for c in ("k", "raw", "want", "hot")), strict=True):
-                    if not want and not hot:
-                        continue
-                    want, hot = set(want), set(hot)
-                    anchor, v, first, last = contexts(np.frombuffer(raw or b"", np.uint8))
-                    to = ((anchor >> np.uint64(24)) % np.uint64(buckets)).tolist()
-                    for i, x in enumerate(v.view(np.int64).tolist()):
-                        if x in want:
-                            want.discard(x)  # once for each text
-                            a = int(first[i])
-                            held.setdefault(to[i], []).append(_packed(k, x, 0, raw[a : int(last[i]) + LENGTH]))
-                        elif x in hot:
-                            hot.discard(x)
-                            for j in range(int(first[i]), int(last[i]) + 1):
-                                own = raw[j : j + LENGTH]
-                                bucket = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % buckets
-                                held.setdefault(bucket, []).append(_packed(k, x, j - int(first[i]), own))
-                for bucket, parts in held.items():
-                    yield bucket, b"".join(parts)
-
-        yield from _rows(SENT, rows(), 256)
+    """Step 3: contexts of anchors that others have, compared within the group; (LOCAL, part, answers), and for buckets what has no earlier copy here."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        if not docs.num_rows or not told.num_rows:
+            return _table([])
+        group, part = _Group(docs), docs.column("part")[0].as_py()
+        said = [(b, *_columns(data, "<u4", "u1")[0]) for b, data in zip(told.column("bucket").to_pylist(), told.column("data").to_pylist(), strict=True)]
+        known = np.concatenate([n.astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, n, _ in said])
+        hot = np.concatenate([x for _, _, x in said]) > 0
+        order = np.argsort(known)
+        known, hot = known[order], hot[order]
+        anchor, _, own, first, last = contexts(group.raws)
+        bucket, name = _route(anchor, buckets)
+        full = name.astype(np.uint64) | bucket.astype(np.uint64) << np.uint64(32)
+        at = np.minimum(np.searchsorted(known, full), len(known) - 1)
+        pick = np.flatnonzero(known[at] == full)
+        crowded, bucket, anchor, own, first, last = hot[at[pick]], bucket[pick], anchor[pick], own[pick], first[pick], last[pick]
+        texts = [group.raws[i][a:b] for i, a, b in zip(own.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)]
+        bits = compared(group.ids[own], anchor, texts)
+        some = np.flatnonzero(bits)
+        rows = [(LOCAL, part, _blob(own[some].astype("<u4"), first[some].astype("<u4"), bits[some]))] if len(some) else []
+        every = (np.uint64(1) << (last - first + 1).astype(np.uint64)) - np.uint64(1)
+        plain = np.flatnonzero(~crowded & (bits != every))
+        sub = (anchor[plain] >> np.uint64(16)).astype("<u2")
+        to, ids, where, parts = bucket[plain], own[plain], first[plain], sub
+        sizes = (last[plain] - first[plain] + LENGTH).astype(np.int64)
+        sent = [texts[i] for i in plain.tolist()]
+        many = np.flatnonzero(crowded & (bits != every))
+        if len(many):
+            n = (last[many] - first[many] + 1).astype(np.int64)
+            at = np.repeat(many, n)
+            j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            free = (bits[at] >> j.astype(np.uint64)) & np.uint64(1) == 0
+            at, j = at[free], j[free]
+            windows = [texts[i][k : k + LENGTH] for i, k in zip(at.tolist(), j.tolist(), strict=True)]
+            data = np.frombuffer(b"".join(windows), np.uint8)
+            starts = np.arange(len(windows)) * LENGTH
+            h = ranges(prefixes(data), starts, starts + LENGTH)
+            to, parts = np.r_[to, ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)], np.r_[parts, (h >> np.uint64(8)).astype("<u2")]
+            ids, where, sizes, sent = np.r_[ids, own[at]], np.r_[where, first[at] + j], np.r_[sizes, np.full(len(at), LENGTH)], sent + windows
+        order = np.lexsort((ids, parts, to))
+        to, parts, ids, where, sizes = to[order], parts[order], ids[order], where[order], sizes[order]
+        sent = [sent[i] for i in order.tolist()]
+        for b, i, j in _cuts(to):
+            docs_, at = np.unique(ids[i:j], return_inverse=True)
+            head = _blob(docs_.astype("<u4"), group.ids[docs_].astype("<i8"))
+            rows.append((b, part, head + _blob(parts[i:j], at.astype("<u4"), where[i:j].astype("<u4"), sizes[i:j].astype("u1")) + b"".join(sent[i:j])))
+        return _table(rows)
 
     return run
 
 
-def _packed(k: int, v: int, j: int, text: bytes) -> bytes:
-    return k.to_bytes(8, "little", signed=True) + v.to_bytes(8, "little", signed=True) + bytes((j, len(text))) + text
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, receiving: the LPF arrays of the buckets' bytes."""
-    groups: dict[int, list[bytes]] = {}
+    """Step 4: (LOCAL, part, answers) for what buckets got; what groups told themselves passes through."""
+    groups: dict[int, list[tuple[int, bytes]]] = {}
     for batch in batches:
-        for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            groups.setdefault(bucket, []).append(data)
-
-    for bucket in sorted(groups):
-        ks, vs, js, texts = [], [], [], []
-        for data in groups.pop(bucket):
-            at = 0
-            while at < len(data):
-                size = data[at + 17]
-                ks.append(int.from_bytes(data[at : at + 8], "little", signed=True))
-                vs.append(int.from_bytes(data[at + 8 : at + 16], "little", signed=True))
-                js.append(data[at + 16])
-                texts.append(data[at + 18 : at + 18 + size])
-                at += 18 + size
-        ids, numbers = np.array(ks, np.int64), np.array(vs, np.int64)
-        # Windows are only equal where anchors are: blocks end between anchors. Single windows of
-        # crowded anchors are kept together by their anchors' bits too.
-        order = np.argsort(numbers.view(np.uint64) >> np.uint64(40), kind="stable")
-        anchor = numbers.view(np.uint64)[order] >> np.uint64(40)
-        windows = np.cumsum(np.array([len(texts[i]) - LENGTH + 1 for i in order.tolist()]))
-        ends = np.flatnonzero(np.r_[anchor[1:] != anchor[:-1], True]) + 1
-        start = 0
-        for end in ends[np.r_[np.diff(windows[ends - 1] // BLOCK) > 0, True]].tolist():
-            own = order[start:end]
-            start = end
-            bits = earlier(ids[own], [texts[i] for i in own.tolist()])
-            hit = np.flatnonzero(bits)
-            if len(hit):
-                at = own[hit]
-                moved = bits[hit] << np.array(js, np.uint64)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(numbers[at]), pa.array(moved.view(np.int64))], names=["e", "v", "bits"])
-
-
-def covered(raw: bytes, whole: list[int] | None, bits: list[dict] | None) -> np.ndarray:
-    """Which bytes of a text lie in windows with earlier copies."""
-    edge = np.zeros(len(raw) + 1, np.int32)
-    if whole or bits:
-        _, own, first, last = contexts(np.frombuffer(raw, np.uint8))
-        every, said = set(whole or ()), {}
-        for x in bits or ():
-            said[x["v"]] = said.get(x["v"], 0) | x["bits"]
-        for i, x in enumerate(own.view(np.int64).tolist()):
-            if x in every:
-                edge[first[i]] += 1
-                edge[last[i] + LENGTH] -= 1
-            elif x in said:
-                b = said[x]
-                for j in range(int(last[i] - first[i]) + 1):
-                    if b >> j & 1:
-                        edge[first[i] + j] += 1
-                        edge[first[i] + j + LENGTH] -= 1
+        passed = []
+        for bucket, part, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "data")), strict=True):
+            if bucket == LOCAL:
+                passed.append((bucket, part, data))
+            else:
+                groups.setdefault(bucket, []).append((part, data))
+        if passed:
+            yield from _table(passed).to_batches()
+
+    def answers() -> Iterator[tuple]:
+        for bucket in sorted(groups):
+            blobs = groups.pop(bucket)
+            texts: list[bytes] = []
+            index: dict[tuple[int, bytes], int] = {}  # a text that a document holds several times counts once
+            ks, subs, places = [], [], []
+            for _, data in blobs:
+                (docs, ids), at = _columns(data, "<u4", "<i8")
+                (sub, own, where, sizes), end = _columns(data[at:], "<u2", "<u4", "<u4", "u1")
+                at += end
+                slots = np.zeros(len(sub), np.int64)
+                for i, (k, s, n) in enumerate(zip(ids[own].tolist(), sub.tolist(), sizes.tolist(), strict=True)):
+                    text = data[at : at + n]
+                    at += n
+                    slot = slots[i] = index.setdefault((k, text), len(texts))
+                    if slot == len(texts):
+                        texts.append(text)
+                        ks.append(k)
+                        subs.append(s)
+                places.append((docs[own], where, slots))
+            index.clear()
+            bits = compared(np.array(ks, np.int64), np.array(subs, np.int64), texts)
+            for (part, _), (own, where, slots) in zip(blobs, places, strict=True):
+                hit = np.flatnonzero(bits[slots])
+                if len(hit):
+                    yield LOCAL, part, _blob(own[hit], where[hit], bits[slots[hit]])
+
+    yield from _batches(answers())
+
+
+def covered(size: int, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which bytes of a text of this size lie in windows with earlier copies: bit j of a context is the window first + j."""
+    row, j = np.nonzero((bits[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1))
+    edge = np.zeros(size + 1, np.int32)
+    starts = first[row].astype(np.int64) + j
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + LENGTH, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def _finish(with_text: bool):
-    """Step 4."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for raw, whole, bits in zip(*(batch.column(c).to_pylist() for c in ("raw", "whole", "bits")), strict=True):
-                raw = raw or b""
-                gone = covered(raw, whole, bits)
-                rest = np.frombuffer(raw, np.uint8)[~gone].tobytes() if gone.any() else raw
+    """Step 5."""
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        group = _Group(docs)
+        said = [_columns(data, "<u4", "<u4", "<u8")[0] for data in told.column("data").to_pylist()]
+        own, first, bits = (np.concatenate(x) for x in zip(*said, strict=True)) if said else (np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+        order = np.argsort(own, kind="stable")
+        own, first, bits = own[order], first[order], bits[order]
+        edges = np.searchsorted(own, np.arange(len(group.raws) + 1))
+        rows = []
+        for i, raw in enumerate(group.raws):
+            a, b = int(edges[i]), int(edges[i + 1])
+            rest, runs = raw, 0
+            if a < b:
+                gone = covered(len(raw), first[a:b], bits[a:b])
+                rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 runs = int(np.count_nonzero(np.diff(np.r_[0, gone.astype(np.int8)]) == 1))
-                rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else [])))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * (4 + with_text)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names=["doc_id", *names[: 4 + with_text]])
+            rows.append((len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), *([rest] if with_text else [])))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * (4 + with_text)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        return pa.table([docs.column("doc_id").take(pa.array(group.order, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=False))], names=["doc_id", *names[: 4 + with_text]])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes that stay) of each row."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * parts
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID)).alias("k"), F.col("text").cast("binary").alias("raw")).repartition(parts, "k")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(SENT, (row for batch in batches for at in range(0, batch.num_rows, 8000) for row in _send(batch.slice(at, 8000), buckets)), 256)
-
-    sent = texts.select("k", "raw", "doc_id").mapInArrow(send, "bucket int, data binary")
-    # Copies within a batch go to any task, by a number of their own.
-    dealt = sent.repartition(parts, F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket").cast("bigint")))
-    told = dealt.mapInArrow(_match, "d bigint, v bigint, kind tinyint")
-    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("v")))
-    told = told.groupBy("d").agg(of(WHOLE).alias("whole"), of(WANT).alias("want"), of(MANY).alias("hot"))
-    asked = texts.join(told, F.col("k") == F.col("d")).select("k", "raw", "doc_id", "whole", "want", "hot")
-    bits = asked.mapInArrow(_gather(buckets), "bucket int, data binary").repartition(parts, "bucket").mapInArrow(_compare, "e bigint, v bigint, bits bigint")
-    bits = bits.groupBy("e").agg(F.collect_list(F.struct("v", "bits")).alias("bits"))
-    met = texts.join(told, F.col("k") == F.col("d"), "left").join(bits, F.col("k") == F.col("e"), "left").select("doc_id", "k", "raw", "whole", "want", "hot", "bits")
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"doc_id must be an integer column, not {kind}")
+    parts = partitions_for(docs, "text", PART_BYTES)
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
+    texts = docs.select("doc_id", key.alias("k"), F.col("text").cast("binary").alias("raw"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")).repartition(parts, "part")
+    sent = texts.groupBy("part").applyInArrow(_send(parts), SENT_DDL)
+    told = sent.repartition(parts, "bucket").mapInArrow(_match, SENT_DDL).repartition(parts, "part")
+    gathered = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_gather(parts), SENT_DDL)
+    # What a group told itself goes through any task.
+    dealt = gathered.repartition(parts, F.when(F.col("bucket") == LOCAL, -1 - F.col("part")).otherwise(F.col("bucket")))
+    answers = dealt.mapInArrow(_compare, SENT_DDL).repartition(parts, "part")
     out = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
-    return met.mapInArrow(_finish(with_text), out)
+    return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_finish(with_text), out)
 
 
 def op3_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
