@@ -46,10 +46,10 @@ from docloom.llm.rolling import mix, prefixes, ranges
 LENGTH = 50
 GRAM = 16
 HOT = 4096
-#: Rows that are put in suffix order at once, and bytes whose anchors are found at once.
-BLOCK, CHUNK = 50_000, 1 << 18
-#: Bytes of input for each group and bucket.
-PART_BYTES = 64 << 20
+#: Windows that are put in suffix order at once, and bytes whose anchors are found at once.
+BLOCK, CHUNK = 200_000, 1 << 18
+#: Bytes of input for each partition, which is a group and a bucket.
+PART_BYTES = 32 << 20
 NULL_ID = -(2**63)
 LOCAL = -1
 
@@ -160,20 +160,24 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def _windows_hit(docs: np.ndarray, texts: list[bytes], length: int) -> np.ndarray:
+def _taken(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of texts, given by their places in data, one after the other."""
+    return data[np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)]
+
+
+def _windows_hit(docs: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     """For each text a number whose bit j says that its window j also is in a text of a smaller document."""
-    sizes = np.array([len(t) - length + 1 for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.r_[0, np.cumsum(sizes + length - 1)[:-1]]
-    own = np.repeat(np.arange(len(texts)), sizes)
-    j = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    start = begin[own] + j
+    data = _taken(data, begin, sizes)
+    n = sizes - length + 1
+    own = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(sizes) - sizes)[own] + j
     # A window that is nowhere else has no neighbour with so long a common prefix.
     h = ranges(prefixes(data), start, start + length)
     by_hash = np.argsort(h, kind="stable")
     same = h[by_hash[1:]] == h[by_hash[:-1]]
     keep = np.sort(by_hash[np.r_[False, same] | np.r_[same, False]])
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(n), np.uint64)
     if len(keep):
         own, j, start = own[keep], j[keep], start[keep]
         order, lcp = suffix_order(np.lib.stride_tricks.sliding_window_view(data, length)[start])
@@ -183,19 +187,18 @@ def _windows_hit(docs: np.ndarray, texts: list[bytes], length: int) -> np.ndarra
     return out
 
 
-def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
-    """For each text a number whose bit j says that its window j also is in a text of a smaller document.
+def earlier(docs: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For each text (its document, its place in data) a number whose bit j says that its window j also is in a text of a smaller document.
 
     Texts are put in suffix order whole first: where the longest previous factor of one reaches its end, all its windows have
     earlier copies, and whatever is equal to one of them has an earlier copy in that smaller document too.
     """
-    out = np.zeros(len(texts), np.uint64)
-    if len(texts) < 2:
+    out = np.zeros(len(docs), np.uint64)
+    if len(docs) < 2:
         return out
     rank = np.unique(docs, return_inverse=True)[1].astype(np.int32)
-    sizes = np.array([len(t) for t in texts], np.int32)
-    rows = np.zeros((len(texts), int(sizes.max())), np.uint8)
-    rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    rows = np.zeros((len(docs), int(sizes.max())), np.uint8)
+    rows[np.arange(rows.shape[1])[None, :] < sizes[:, None]] = _taken(data, begin, sizes)
     order, lcp = suffix_order(rows)
     ordered = sizes[order]
     lcp = np.minimum(lcp, np.minimum(ordered, np.r_[0, ordered[:-1]])).astype(np.int32)  # what fills rows up is no text
@@ -203,20 +206,21 @@ def earlier(docs: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.nd
     out[whole] = (np.uint64(1) << (sizes[whole] - length + 1).astype(np.uint64)) - np.uint64(1)
     rest = np.flatnonzero(out == 0)
     if len(rest) > 1:
-        out[rest] = _windows_hit(rank[rest], [texts[i] for i in rest.tolist()], length)
+        out[rest] = _windows_hit(rank[rest], data, begin[rest], sizes[rest], length)
     return out
 
 
-def compared(docs: np.ndarray, parts: np.ndarray, texts: list[bytes]) -> np.ndarray:
+def compared(docs: np.ndarray, parts: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The same in blocks that end between parts: windows are only equal where parts are."""
-    out = np.zeros(len(texts), np.uint64)
+    out = np.zeros(len(docs), np.uint64)
     order = np.argsort(parts, kind="stable")
     ends = np.flatnonzero(np.r_[parts[order][1:] != parts[order][:-1], True]) + 1 if len(order) else np.zeros(0, np.int64)
     start = 0
-    for end in ends[np.r_[np.diff(ends // BLOCK) > 0, True]].tolist() if len(ends) else []:
+    windows = np.cumsum(sizes[order] - LENGTH + 1)
+    for end in ends[np.r_[np.diff(windows[ends - 1] // BLOCK) > 0, True]].tolist() if len(ends) else []:
         own = order[start:end]
         start = end
-        out[own] = earlier(docs[own], [texts[i] for i in own.tolist()])
+        out[own] = earlier(docs[own], data, begin[own], sizes[own])
     return out
 
 
@@ -344,36 +348,31 @@ def _gather(buckets: int):
         at = np.minimum(np.searchsorted(known, full), len(known) - 1)
         pick = np.flatnonzero(known[at] == full)
         crowded, bucket, anchor, own, first, last = hot[at[pick]], bucket[pick], anchor[pick], own[pick], first[pick], last[pick]
-        texts = [group.raws[i][a:b] for i, a, b in zip(own.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)]
-        bits = compared(group.ids[own], anchor, texts)
+        lengths = np.array([len(x) for x in group.raws], np.int64)
+        data, begin, sizes = np.frombuffer(b"".join(group.raws), np.uint8), (np.cumsum(lengths) - lengths)[own] + first, last - first + LENGTH
+        bits = compared(group.ids[own], anchor, data, begin, sizes)
         some = np.flatnonzero(bits)
         rows = [(LOCAL, part, _blob(own[some].astype("<u4"), first[some].astype("<u4"), bits[some]))] if len(some) else []
-        every = (np.uint64(1) << (last - first + 1).astype(np.uint64)) - np.uint64(1)
-        plain = np.flatnonzero(~crowded & (bits != every))
-        sub = (anchor[plain] >> np.uint64(16)).astype("<u2")
-        to, ids, where, parts = bucket[plain], own[plain], first[plain], sub
-        sizes = (last[plain] - first[plain] + LENGTH).astype(np.int64)
-        sent = [texts[i] for i in plain.tolist()]
-        many = np.flatnonzero(crowded & (bits != every))
-        if len(many):
-            n = (last[many] - first[many] + 1).astype(np.int64)
-            at = np.repeat(many, n)
-            j = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            free = (bits[at] >> j.astype(np.uint64)) & np.uint64(1) == 0
-            at, j = at[free], j[free]
-            windows = [texts[i][k : k + LENGTH] for i, k in zip(at.tolist(), j.tolist(), strict=True)]
-            data = np.frombuffer(b"".join(windows), np.uint8)
-            starts = np.arange(len(windows)) * LENGTH
-            h = ranges(prefixes(data), starts, starts + LENGTH)
-            to, parts = np.r_[to, ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)], np.r_[parts, (h >> np.uint64(8)).astype("<u2")]
-            ids, where, sizes, sent = np.r_[ids, own[at]], np.r_[where, first[at] + j], np.r_[sizes, np.full(len(at), LENGTH)], sent + windows
-        order = np.lexsort((ids, parts, to))
-        to, parts, ids, where, sizes = to[order], parts[order], ids[order], where[order], sizes[order]
-        sent = [sent[i] for i in order.tolist()]
+        free = bits != (np.uint64(1) << (last - first + 1).astype(np.uint64)) - np.uint64(1)
+        plain, many = np.flatnonzero(free & ~crowded), np.flatnonzero(free & crowded)
+        # Windows of crowded anchors, without those that have an earlier copy here.
+        n = last[many] - first[many] + 1
+        of = np.repeat(many, n)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        alone = (bits[of] >> j.astype(np.uint64)) & np.uint64(1) == 0
+        of, j = of[alone], j[alone]
+        ends = np.arange(1, len(of) + 1) * LENGTH
+        h = ranges(prefixes(_taken(data, begin[of] + j, np.full(len(of), LENGTH))), ends - LENGTH, ends)
+        to = np.r_[bucket[plain], ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)]
+        sub = np.r_[(anchor[plain] >> np.uint64(16)).astype("<u2"), (h >> np.uint64(8)).astype("<u2")]
+        own, first = np.r_[own[plain], own[of]], np.r_[first[plain], first[of] + j]
+        begin, sizes = np.r_[begin[plain], begin[of] + j], np.r_[sizes[plain], np.full(len(of), LENGTH)]
+        order = np.lexsort((own, sub, to))
+        to, sub, own, first, begin, sizes = (x[order] for x in (to, sub, own, first, begin, sizes))
         for b, i, j in _cuts(to):
-            docs_, at = np.unique(ids[i:j], return_inverse=True)
+            docs_, at = np.unique(own[i:j], return_inverse=True)
             head = _blob(docs_.astype("<u4"), group.ids[docs_].astype("<i8"))
-            rows.append((b, part, head + _blob(parts[i:j], at.astype("<u4"), where[i:j].astype("<u4"), sizes[i:j].astype("u1")) + b"".join(sent[i:j])))
+            rows.append((b, part, head + _blob(sub[i:j], at.astype("<u4"), first[i:j].astype("<u4"), sizes[i:j].astype("u1")) + _taken(data, begin[i:j], sizes[i:j]).tobytes()))
         return _table(rows)
 
     return run
@@ -395,29 +394,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answers() -> Iterator[tuple]:
         for bucket in sorted(groups):
             blobs = groups.pop(bucket)
-            texts: list[bytes] = []
-            index: dict[tuple[int, bytes], int] = {}  # a text that a document holds several times counts once
-            ks, subs, places = [], [], []
-            for _, data in blobs:
-                (docs, ids), at = _columns(data, "<u4", "<i8")
-                (sub, own, where, sizes), end = _columns(data[at:], "<u2", "<u4", "<u4", "u1")
-                at += end
-                slots = np.zeros(len(sub), np.int64)
-                for i, (k, s, n) in enumerate(zip(ids[own].tolist(), sub.tolist(), sizes.tolist(), strict=True)):
-                    text = data[at : at + n]
-                    at += n
-                    slot = slots[i] = index.setdefault((k, text), len(texts))
-                    if slot == len(texts):
-                        texts.append(text)
-                        ks.append(k)
-                        subs.append(s)
-                places.append((docs[own], where, slots))
-            index.clear()
-            bits = compared(np.array(ks, np.int64), np.array(subs, np.int64), texts)
-            for (part, _), (own, where, slots) in zip(blobs, places, strict=True):
-                hit = np.flatnonzero(bits[slots])
+            ks, subs, sizes, datas, places = [], [], [], [], []
+            for _, blob in blobs:
+                (docs, ids), at = _columns(blob, "<u4", "<i8")
+                (sub, own, where, size), end = _columns(blob[at:], "<u2", "<u4", "<u4", "u1")
+                ks.append(ids[own])
+                subs.append(sub)
+                sizes.append(size.astype(np.int64))
+                datas.append(np.frombuffer(blob, np.uint8, -1, at + end))
+                places.append((docs[own], where))
+            size = np.concatenate(sizes)
+            bits = compared(np.concatenate(ks), np.concatenate(subs), np.concatenate(datas), np.cumsum(size) - size, size)
+            at = 0
+            for (part, _), (own, where) in zip(blobs, places, strict=True):
+                said = bits[at : at + len(own)]
+                at += len(own)
+                hit = np.flatnonzero(said)
                 if len(hit):
-                    yield LOCAL, part, _blob(own[hit], where[hit], bits[slots[hit]])
+                    yield LOCAL, part, _blob(own[hit], where[hit], said[hit])
 
     yield from _batches(answers())
 
@@ -466,13 +460,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         raise ValueError(f"doc_id must be an integer column, not {kind}")
     parts = partitions_for(docs, "text", PART_BYTES)
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_ID))
-    texts = docs.select("doc_id", key.alias("k"), F.col("text").cast("binary").alias("raw"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")).repartition(parts, "part")
+    own = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+    texts = docs.select("doc_id", key.alias("k"), F.col("text").cast("binary").alias("raw"), own).repartitionById(parts, F.col("part"))
     sent = texts.groupBy("part").applyInArrow(_send(parts), SENT_DDL)
-    told = sent.repartition(parts, "bucket").mapInArrow(_match, SENT_DDL).repartition(parts, "part")
+    told = sent.repartitionById(parts, F.col("bucket")).mapInArrow(_match, SENT_DDL).repartitionById(parts, F.col("part"))
     gathered = texts.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_gather(parts), SENT_DDL)
     # What a group told itself goes through any task.
-    dealt = gathered.repartition(parts, F.when(F.col("bucket") == LOCAL, -1 - F.col("part")).otherwise(F.col("bucket")))
-    answers = dealt.mapInArrow(_compare, SENT_DDL).repartition(parts, "part")
+    dealt = gathered.repartitionById(parts, F.when(F.col("bucket") == LOCAL, F.col("part")).otherwise(F.col("bucket")))
+    answers = dealt.mapInArrow(_compare, SENT_DDL).repartitionById(parts, F.col("part"))
     out = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
     return texts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_finish(with_text), out)
 
