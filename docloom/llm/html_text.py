@@ -4,18 +4,18 @@ A page becomes a tree; what is never article text (scripts, menus, controls, par
 notices or comments, hidden parts) is cut first. A form goes where it is mostly controls, but not with most of
 the text. Inside a marked article, names that may be a topic's (an id "privacy", a class "notice") cut only what
 consists mostly of links, and never headings. Every node then has its composite density:
-characters per tag, adjusted by how much of it is links relative to the whole body. Each node's
-density sum adds those of its children and of its own text runs. The subtree with the largest
-sum is content; the smallest density on the way from it to the body is the page's threshold, and
-parts elsewhere that reach it count as well. The subtree that holds all of these is the
-article. Blocks that consist of links are left out, unless the page itself marks the subtree as
-its article.
+characters per tag, adjusted by how much of it is links relative to the whole body. The density sum of a
+block adds those of the blocks in it and of its own runs of text with the inline elements in them. The block with the largest
+sum is content; the smallest density on the way from it to the body is the page's threshold. Where parts beside it reach
+that, the block around them is chosen instead, and so on towards the body; a heading right before the content belongs to it.
+Which elements the page calls article or main has no part in the choice. Blocks that consist of links are left out,
+unless they stand in such an element.
 
 Text: character references are decoded, white space within a block becomes one space, blocks
 are trimmed and joined by newlines in page order; a line break within a block is white space.
 
 Defined results: a null or empty page, and one without text outside what is cut, give an empty
-text. Unclosed, misnested and cut-off markup is read as far as it goes. One row for each row of
+text. Unclosed, misnested and cut-off markup is read as far as it goes, in time that grows with the page's length. One row for each row of
 the input, repeated rows included; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,10 +69,6 @@ class Node:
         self.children: list[Node | str] = []
 
 
-def _is_cut(name: str, stack: list[Node]) -> bool:
-    return name in CUT or name == "header" and not any(n.name in ("article", "main") for n in stack)
-
-
 def _is_named(name: str, attrs: str) -> tuple[int, bool]:
     """1 where the attributes name a part that is to be cut, 2 where that may be a wrapper's name, else 0; whether that is sure inside an article."""
     if name in KEEP or not attrs or attrs.isspace():
@@ -94,15 +90,25 @@ def parse(page: str) -> Node:
     """The tree of a page; parts that are cut stay as nodes without children."""
     root = Node("html", None)
     stack, at, end = [root], 0, len(page)
+    places: dict[str, list[int]] = {}  # where elements of a name are open
+    solid = [0]  # where elements that aren't inline are open
     cutting = 0  # the depth at which cutting began
 
+    def last(names: Iterable[str]) -> int:
+        """The innermost open element of one of the names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def text(a: int, b: int) -> None:
         if a < b and not cutting:
             stack[-1].children.append(html.unescape(page[a:b]))
 
     def close_to(depth: int) -> None:
         nonlocal cutting
-        del stack[depth:]
+        while len(stack) > depth:
+            name = stack.pop().name
+            places[name].pop()
+            if solid[-1] == len(stack):
+                solid.pop()
         if cutting > len(stack):
             cutting = 0
 
@@ -119,41 +125,28 @@ def parse(page: str) -> Node:
             continue
         name = m["name"].lower()
         if m["close"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    close_to(k)
-                    break
+            if k := last((name,)):
+                close_to(k)
             continue
-        if name in ("html", "body") and len(stack) > 1 and name == "html" or any(n.name == "body" for n in stack[:3]) and name == "body":
+        if name == "html" and len(stack) > 1 or name == "body" and last(("body",)) in (1, 2):
             continue
         if name == "body":
             close_to(1)  # a head that was left open
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close_to(k)
-                    break
-                if stack[k].name not in INLINE:
-                    break
+        if name in CLOSES_P and solid[-1] and stack[solid[-1]].name == "p":
+            close_to(solid[-1])
         if name in IMPLIED:
             ends, limits = IMPLIED[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in limits:
-                    break
-                if stack[k].name in ends:
-                    close_to(k)
-                    if name not in ("tr", "tbody", "tfoot"):
-                        break
-        if name in CONTROLS and not re.search(r"""type\s*=\s*["']?hidden""", m["attrs"] or "", re.IGNORECASE):
-            for n in reversed(stack):
-                if n.name == "form":
-                    n.controls += 1
+            while (k := last(ends)) > last(limits):
+                close_to(k)
+                if name not in ("tr", "tbody", "tfoot"):
                     break
+        if name in CONTROLS and (k := last(("form",))) and not re.search(r"""type\s*=\s*["']?hidden""", m["attrs"] or "", re.IGNORECASE):
+            stack[k].controls += 1
         if name in VOID:
             if not cutting and name in ("br", "hr"):
                 stack[-1].children.append(Node(name, stack[-1]))
             continue
-        node = Node(name, stack[-1], not cutting and _is_cut(name, stack))
+        node = Node(name, stack[-1], not cutting and (name in CUT or name == "header" and not last(("article", "main"))))
         if not cutting and not node.cut:
             node.soft, node.sure = _is_named(name, m["attrs"])
             if name == "form":
@@ -164,6 +157,9 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
             continue
+        places.setdefault(name, []).append(len(stack))
+        if name not in INLINE:
+            solid.append(len(stack))
         stack.append(node)
         if node.cut and not cutting:
             cutting = len(stack)
@@ -235,98 +231,106 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def composite_density(chars: int, tags: int, linked: int, links: int, ratio: float) -> float:
+    """Characters per tag, less for links; ratio: the share of the body's characters that are links."""
+    if not chars:
+        return 0.0
+    tags, free = max(tags, 1), max(chars - linked, 1)
+    base = math.log(chars * linked / free + ratio * chars + math.e)
+    share = math.log(max(chars * tags / (max(linked, 1) * max(links, 1)), 1.0))
+    return chars / tags * share / (math.log(max(base, 1.0 + 1e-9)) if base > 1 else 1.0)
+
+
+def _is_inline(node: Node | str) -> bool:
+    return isinstance(node, str) or node.name in INLINE or node.name == "br"
+
+
 def measure(root: Node) -> list[Node]:
     """Set counts, composite densities and density sums; the nodes, parents first."""
     nodes = _order(root)
-    runs: dict[int, list[int]] = {}
     for n in reversed(nodes):
-        own = [len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)]
-        runs[id(n)] = [x for x in own if x]
         below = [c for c in n.children if isinstance(c, Node)]
-        n.chars = sum(own) + sum(c.chars for c in below)
+        n.chars = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str)) + sum(c.chars for c in below)
         n.tags = len(below) + sum(c.tags for c in below)
         n.linked = n.chars if n.name == "a" else sum(c.linked for c in below)
         n.links = (n.name == "a") + sum(c.links for c in below)
     body = next((n for n in nodes if n.name == "body"), root)
     ratio = body.linked / max(body.chars, 1)
-
-    def density(chars: int, tags: int, linked: int, links: int) -> float:
-        if not chars:
-            return 0.0
-        tags, free = max(tags, 1), max(chars - linked, 1)
-        base = math.log(chars * linked / free + ratio * chars + math.e)
-        links_ = chars * tags / (max(linked, 1) * max(links, 1))
-        return chars / tags * math.log(max(links_, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else chars / tags * math.log(max(links_, 1.0))
-
     for n in reversed(nodes):
-        n.density = density(n.chars, n.tags, n.linked, n.links)
-        link = n.name == "a"
-        n.sum = sum(c.density for c in n.children if isinstance(c, Node)) + sum(density(x, 1, x if link else 0, int(link)) for x in runs[id(n)])
+        n.density = composite_density(n.chars, n.tags, n.linked, n.links, ratio)
+        n.sum = 0.0
+        run = [0, 0, 0, 0]
+        for c in [*n.children, None]:
+            if c is not None and _is_inline(c):
+                own = (len(SPACE.sub(" ", c).strip()), 0, 0, 0) if isinstance(c, str) else (c.chars, c.tags + 1, c.linked, c.links)
+                run = [x + y for x, y in zip(run, own, strict=True)]
+                continue
+            n.sum += composite_density(*run, ratio) + (c.density if c is not None else 0.0)
+            run = [0, 0, 0, 0]
     return nodes
 
 
-def _path(node: Node) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out[::-1]
-
-
-def select(root: Node) -> Node:
-    """The node that holds the article."""
+def select(root: Node) -> list[Node]:
+    """The nodes that hold the article: a block, or headings and the block they stand before."""
     nodes = measure(root)
     body = next((n for n in nodes if n.name == "body"), root)
-    best = max(nodes, key=lambda n: n.sum)  # of equal ones the outermost, as parents come first
-    path = _path(best)
-    path = path[path.index(body) :] if body in path else path
+    best = max((n for n in nodes if not _is_inline(n)), key=lambda n: n.sum)  # of equal ones the outermost, as parents come first
+    path = [best]
+    while path[-1].parent is not None and path[-1] is not body:
+        path.append(path[-1].parent)
     limit = min(n.density for n in path)
-    path = _path(best)
-    for k in range(len(path) - 1, -1, -1):
-        if path[k].name in ("article", "main"):
-            return path[k]
     # Parts beside the best one that reach the threshold widen the choice to what holds them all.
-    chosen = best
-    while chosen.parent is not None and chosen is not body:
-        beside = [c for c in chosen.parent.children if isinstance(c, Node) and c is not chosen and not c.cut and c.chars]
-        loose = [c for c in chosen.parent.children if isinstance(c, str) and c.strip()]
+    chosen = [best]
+    for parent in path[1:]:
+        at = next(i for i, c in enumerate(parent.children) if c is chosen[0])
+        own = {id(c) for c in chosen}
+        loose = any(isinstance(c, str) and c.strip() for c in parent.children)
+        beside = [c for c in parent.children if isinstance(c, Node) and id(c) not in own and not c.cut and c.chars]
         if not loose and not any(c.density >= limit and 2 * c.linked <= c.chars for c in beside):
-            break
-        chosen = chosen.parent
+            while at and (isinstance(parent.children[at - 1], str) or parent.children[at - 1].name in HEADINGS or parent.children[at - 1].cut):
+                at -= 1
+                if isinstance(parent.children[at], Node) and not parent.children[at].cut:
+                    chosen.insert(0, parent.children[at])
+            own = {id(c) for c in chosen}
+            if any(id(c) not in own for c in beside):
+                break
+        chosen = [parent]
     return chosen
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the blocks below a node, in page order; without blocks that are links only, unless the page marks it as its article."""
-    marked = node.name in ("article", "main")
+def blocks(nodes: list[Node]) -> list[str]:
+    """The texts of the blocks below nodes, in page order; without blocks that are links only, unless the page marks them as its article's."""
+    up, marked = nodes[0], False
+    while up is not None and not marked:
+        up, marked = up.parent, up.name in ("article", "main")
     out: list[str] = []
     run: list[str] = []
     free = [False]  # whether the block has text outside links
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(run)).strip()
-        if text and (free[0] or marked):
+        if text and free[0]:
             out.append(text)
         run.clear()
         free[0] = False
 
-    todo: list[tuple[Node | str | None, bool]] = [(node, False)]
+    todo: list[tuple[Node | str | None, bool, bool]] = [(n, False, marked) for n in reversed(nodes)]
     while todo:
-        item, link = todo.pop()
+        item, link, own = todo.pop()
         if item is None:
             flush()
         elif isinstance(item, str):
             run.append(item)
-            free[0] = free[0] or not link and not item.isspace() and bool(item)
+            free[0] = free[0] or (own or not link) and not item.isspace() and bool(item)
         elif item.name == "br":
             run.append(" ")
         elif not item.cut:
-            inner = [(c, link or item.name == "a") for c in reversed(item.children)]
+            inner = [(c, link or item.name == "a", own or item.name in ("article", "main")) for c in reversed(item.children)]
             if item.name in INLINE:
                 todo += inner
             else:
                 flush()
-                todo += [(None, False), *inner]
+                todo += [(None, False, own), *inner]
     flush()
     return out
 
