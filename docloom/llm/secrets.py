@@ -9,7 +9,9 @@ access, hex) are reported as they match and stay.
 
 Line ends may be written out (backslash and n or r, as in JSON and source text) and lines may be string literals in a row.
 Lines of base64 or hex, but for the last of 16 characters at least, are read as one run without line ends and 0x prefixes,
-and keys are looked for at every place of a run; the key's own lengths say where it ends.
+pairs of hex digits between colons or white space as one run too, and keys are looked for at every place of a run; the key's own lengths say where it ends.
+A PEM block is a BEGIN mark and the next mark, if that ends the same kind. Only the bytes that a structure's
+lengths lead to are decoded, so that time grows with the text and not with what false starts claim to hold.
 
 Kinds in their order: assign, access, hex, token, pem, der, openssh.
 Offsets are code points, ends exclusive; a base64 key inside a PEM block is reported as pem only.
@@ -26,7 +28,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -47,8 +49,11 @@ PIECE = re.compile(rf"{BREAK}|[A-Za-z0-9+/_-]+")
 DER_START = re.compile(r"30(?:[0-7][0-9a-f]|81..|82.{4}|83.{6}|84.{8})(?:02010[01]|30)")
 B64_START = re.compile(r"M[A-P]|b3BlbnNzaC1rZXktdjEA")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(e[wy][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+PEM_MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+PAIRS = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?:(?::\s*|\s+)[0-9A-Fa-f]{2}(?![0-9A-Fa-f])){19,}")
 MAGIC = b"openssh-key-v1\0"
+#: More elements than these no key has on one level, and no key file so many public keys.
+MOST_ELEMENTS, MOST_KEYS = 32, 64
 
 
 def _b64(text: str) -> bytes | None:
@@ -61,71 +66,96 @@ def _b64(text: str) -> bytes | None:
         return None
 
 
-def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+class _Bytes:
+    """Bytes that are decoded where they are read: chars characters from a place of a run stand for per bytes."""
+
+    def __init__(self, run: str, at: int, end: int, chars: int, per: int, decode: Callable[[str], bytes | None]) -> None:
+        end -= (end - at) % chars if chars == 2 else (end - at) % chars == 1
+        self.run, self.at, self.end, self.chars, self.per, self.decode = run, at, end, chars, per, decode
+        self.size = (end - at) * per // chars
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> bytes:
+        start, stop = part.start or 0, min(len(self) if part.stop is None else part.stop, len(self))
+        first = start // self.per
+        text = self.run[self.at + first * self.chars : min(self.at - (-stop // self.per) * self.chars, self.end)]
+        data = self.decode(text) if start < stop else b""
+        return (data or b"")[start - first * self.per : stop - first * self.per]
+
+
+def _element(data: bytes | _Bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the contents of the DER element at a place; None if it doesn't fit."""
-    if at + 2 > end:
+    head = data[at : min(at + 6, end)]
+    if len(head) < 2:
         return None
-    tag, size, at = data[at], data[at + 1], at + 2
+    tag, size, at = head[0], head[1], at + 2
     if size >= 0x80:
         n = size & 0x7F
-        if not 1 <= n <= 4 or at + n > end:
+        if not 1 <= n <= 4 or len(head) < 2 + n:
             return None
-        size, at = int.from_bytes(data[at : at + n], "big"), at + n
+        size, at = int.from_bytes(head[2 : 2 + n], "big"), at + n
         if size < 0x80:
             return None  # DER writes such lengths in one byte
     return (tag, at, at + size) if at + size <= end else None
 
 
-def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+def _children(data: bytes | _Bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     """The elements that fill a range exactly."""
     out = []
     while at < end:
-        if (e := _element(data, at, end)) is None:
+        if len(out) == MOST_ELEMENTS or (e := _element(data, at, end)) is None:
             return None
         out.append(e)
         at = e[2]
     return out
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key as PKCS#8 (also encrypted), PKCS#1 or SEC1, its lengths nested without a gap."""
+def _der_end(data: bytes | _Bytes) -> int | None:
+    """Where a private key ends that begins here: PKCS#8 (also encrypted), PKCS#1 or SEC1, its lengths nested without a gap."""
     top = _element(data, 0, len(data))
-    if top is None or top[0] != 0x30 or top[2] != len(data):
-        return False
+    if top is None or top[0] != 0x30:
+        return None
     parts = _children(data, top[1], top[2])
     if not parts:
-        return False
+        return None
     tags = [p[0] for p in parts]
     oid_first = lambda p: bool(c := _children(data, p[1], p[2])) and c[0][0] == 0x06
-    version = data[parts[0][1] : parts[0][2]] if tags[0] == 0x02 else b""
+    version = data[parts[0][1] : min(parts[0][2], parts[0][1] + 2)] if tags[0] == 0x02 else b""
     if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\0", b"\1"):
-        return oid_first(parts[1])
+        return top[2] if oid_first(parts[1]) else None
     if len(tags) >= 9 and set(tags[:9]) == {0x02} and version in (b"\0", b"\1"):
-        return True
+        return top[2]
     if tags[:2] == [0x02, 0x04] and version == b"\1":
-        return all(t in (0xA0, 0xA1) for t in tags[2:])
-    return tags == [0x30, 0x04] and oid_first(parts[0])
+        return top[2] if all(t in (0xA0, 0xA1) for t in tags[2:]) else None
+    return top[2] if tags == [0x30, 0x04] and oid_first(parts[0]) else None
+
+
+def is_der_key(data: bytes) -> bool:
+    return _der_end(data) == len(data)
 
 
 def is_openssh_key(data: bytes) -> bool:
     return _openssh_end(data) == len(data)
 
 
-def _openssh_end(data: bytes) -> int | None:
+def _openssh_end(data: bytes | _Bytes) -> int | None:
     """Where a key ends: the magic, then cipher, derivation, options, a count of keys, public keys and the private part."""
-    if not data.startswith(MAGIC):
+    if data[: len(MAGIC)] != MAGIC:
         return None
 
     def string(at: int) -> int | None:
-        end = at + 4 + int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data) + 1
-        return end if end <= len(data) else None
+        size = data[at : at + 4]
+        end = at + 4 + int.from_bytes(size, "big")
+        return end if len(size) == 4 and end <= len(data) else None
 
     at: int | None = len(MAGIC)
     for _ in range(3):
         if (at := string(at)) is None:
             return None
-    keys = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
-    if not 1 <= keys <= len(data):
+    keys = int.from_bytes(data[at : at + 4], "big")
+    if not 1 <= keys <= MOST_KEYS:
         return None
     at += 4
     for _ in range(keys + 1):
@@ -134,34 +164,32 @@ def _openssh_end(data: bytes) -> int | None:
     return at
 
 
-def _keys_in(run: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the keys at any place of a run of base64 or hex, the outermost of nested ones."""
-    out: list[tuple[int, int, int]] = []
-
-    def look(at: int, end: int, chars: int, per: int, decode: Callable[[str], bytes | None]) -> None:
-        """A key that begins at a place: per bytes take chars characters."""
-        if out and at < out[-1][2] and out[-1][0] <= at:
-            return
-        wide = 20 * chars // per
-        head = decode(run[at : min(end, at + wide - wide % chars)]) or b""
-        if DER_START.match(head.hex()):
-            n = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2 : 2 + (head[1] & 0x7F)], "big")
-            stop = at - (-n * chars // per)
-            if at + 40 <= stop <= end and (data := decode(run[at:stop])) and is_der_key(data):
-                out.append((at, 5, stop))
-        elif head.startswith(MAGIC):
-            rest = end - (end - at) % chars if (end - at) % chars == 1 else end
-            if (data := decode(run[at:rest])) and (n_ := _openssh_end(data)):
-                out.append((at, 6, at - (-n_ * chars // per)))
-
-    for m in B64_START.finditer(run):
-        look(m.start(), len(run), 4, 3, _b64)
-    found, out = out, []
+def _keys_in(run: str, base64_too: bool = True) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the keys at any place of a run of base64 or hex, the outermost of nested ones, by start."""
+
+    def look(starts: Iterable[int], end: int, chars: int, per: int, decode: Callable[[str], bytes | None]) -> Iterator[tuple[int, int, int]]:
+        """Keys that begin at one of the places; per bytes take chars characters."""
+        free = 0
+        for at in starts:
+            if at < free:
+                continue
+            data = _Bytes(run, at, end, chars, per, decode)
+            kind = 5 if data[:1] == b"\x30" else 6
+            n = _der_end(data) if kind == 5 else _openssh_end(data)
+            if n is not None and n * chars // per >= 40:
+                free = at - (-n * chars // per)
+                yield at, kind, free
+
+    found = list(look((m.start() for m in B64_START.finditer(run)), len(run), 4, 3, _b64)) if base64_too else []
+    taken = [a for a, _, _ in found]
     for h in re.finditer(r"[0-9a-fA-F]{40,}", run):
-        for m in re.finditer(rf"(?={DER_START.pattern}|{MAGIC.hex()})", h[0].lower()):
-            at = h.start() + m.start()
-            look(at, h.end() - (h.end() - at) % 2, 2, 1, bytes.fromhex)
-    return found + [x for x in out if not any(a < x[2] and x[0] < b for a, _, b in found)]
+        low = h[0].lower()
+        starts = sorted([m.start() + h.start() for m in re.finditer(rf"(?={DER_START.pattern}|{MAGIC.hex()})", low)])
+        for x in look(starts, h.end(), 2, 1, bytes.fromhex):
+            k = bisect_right(taken, x[0]) - 1
+            if not (k >= 0 and found[k][2] > x[0] or k + 1 < len(taken) and taken[k + 1] < x[2]):
+                found.append(x)
+    return found
 
 
 def is_token(header: str, payload: str) -> bool:
@@ -185,32 +213,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+class _Spans:
+    """Spans that don't overlap, in which places are looked up."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a) - 1
+        return k >= 0 and self.spans[k][1] > a or k + 1 < len(self.spans) and self.starts[k + 1] < b
+
+
+def _pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    marks = list(PEM_MARK.finditer(text)) if "-----BEGIN" in text else []
+    for first, last in zip(marks, marks[1:], strict=False):
+        if first[1] != "BEGIN" or last[1] != "END" or first[2] != last[2]:
+            continue
+        inner = text[first.end() : last.start()]
+        body = re.sub(r"""["']\s*[+,]?\s*["']""", "", re.sub(r"\\+[rn]", "\n", inner).replace("\\/", "/"))
+        body = re.sub(r"^(?:[A-Za-z-]+:[^\n]*\n)+\s*", "", body.lstrip())
+        data = _b64(re.sub(r"\s+", "", body))
+        sealed = "ENCRYPTED" in inner  # its contents are cipher text, without structure of their own
+        if data and (is_der_key(data) or is_openssh_key(data) or (sealed and len(data) % 8 == 0)):
+            yield first.start(), last.end()
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of what has the structure of a key or signed token, unordered."""
-    out, blocks = [], []
-    if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            body = re.sub(r"""["']\s*[+,]?\s*["']""", "", re.sub(r"\\+[rn]", "\n", m[2]).replace("\\/", "/"))
-            body = re.sub(r"^(?:[A-Za-z-]+:[^\n]*\n)+\s*", "", body.lstrip())
-            data = _b64(re.sub(r"\s+", "", body))
-            sealed = "ENCRYPTED" in m[2]  # its contents are cipher text, without structure of their own
-            if data and (is_der_key(data) or is_openssh_key(data) or (sealed and len(data) % 8 == 0)):
-                out.append((m.start(), 4, m.end()))
-                blocks.append((m.start(), m.end()))
+    blocks = _Spans(list(_pem_blocks(text)))
+    out = [(a, 4, b) for a, b in blocks.spans]
     out += [(m.start(), 3, m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
+    keys: list[tuple[int, int, int]] = []
     for m in RUN.finditer(text):
         if m.end() - m.start() < 40:
             continue
         pieces = [(p.start(), p.end()) for p in PIECE.finditer(text, m.start(), m.end()) if p[0][0].isalnum() or p[0][0] in "+/_-"]
         found = _placed(text, pieces)
         if any(text.startswith(("0x", "0X"), a) for a, _ in pieces[1:]):
+            known = _Spans([(a, b) for a, _, b in found])
             bare = [(a + 2 * text.startswith(("0x", "0X"), a), b) for a, b in pieces]
-            found += [x for x in _placed(text, bare) if not any(a < x[2] and x[0] < b for a, _, b in found)]
-        out += [x for x in found if not any(a <= x[0] < b for a, b in blocks)]
-    return out
+            found += [x for x in _placed(text, bare) if not known.meet(x[0], x[2])]
+        keys += [x for x in found if not blocks.meet(x[0], x[2])]
+    known = _Spans([(a, b) for a, _, b in keys])
+    for m in PAIRS.finditer(text):
+        pieces = [(p.start(), p.end()) for p in re.compile("[0-9A-Fa-f]{2}").finditer(text, m.start(), m.end())]
+        keys += [x for x in _placed(text, pieces, False) if not known.meet(x[0], x[2]) and not blocks.meet(x[0], x[2])]
+    return out + keys
 
 
-def _placed(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def _placed(text: str, pieces: list[tuple[int, int]], base64_too: bool = True) -> list[tuple[int, int, int]]:
     """The keys in a run made of pieces of a text, by their places in the text, padding included."""
     run = "".join(text[a:b] for a, b in pieces)
     firsts = list(accumulate((b - a for a, b in pieces), initial=0))
@@ -220,7 +272,7 @@ def _placed(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, in
         return pieces[k][0] + i - firsts[k]
 
     out = []
-    for a, kind, b in _keys_in(run):
+    for a, kind, b in _keys_in(run, base64_too):
         end = place(b - 1) + 1
         out.append((place(a), kind, end + len(re.compile("={0,2}").match(text, end)[0])))
     return out
