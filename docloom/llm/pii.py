@@ -9,14 +9,17 @@ one, punctuation stays, check digits are made anew, and reveal() undoes it all w
 
 Values are equal when their digits are: "4417 7442 8035 1547" and "4417744280351547" are linked.
 
-Rules: a card number has 13 to 19 digits, in groups joined by single spaces or hyphens or
-in one; a phone number has a + and a country code of one to three digits, or a bracketed
+Rules: a card number has 13 to 19 digits, in one group or in groups joined by single spaces or hyphens, as cards
+write them (CARD_GROUPS) or in any way where no other group stands in the row; an IBAN has its country's
+length, in upper or lower case, with or without single spaces or hyphens; a phone number has a + and a country code of one to three digits, or a bracketed
 area code, and 7 to 14 further digits; dates are year-month-day, or day and month in either order, and
 years from 1900 to 2099. Where kinds overlap, the first listed wins, but a date beside a card number is a date. Values that fail
-validation are left as they are. Where groups of digits (or of an IBAN's characters) stand in a row, the longest
-part between spaces or hyphens that is valid is a value, then the longest of what is left, of equal ones the
-first. Where the pseudonyms would make another part valid, the permutation goes on until the same parts
-are the values again: reveal() finds them, and only there does the neighbourhood decide on the pseudonym.
+validation are left as they are. In a row of groups each is tried in turn as the start of a value, so that neighbours
+neither hide nor change one. Where a pseudonym would make the groups before it the start of another value, its
+permutation goes on until they don't: reveal() finds the same values, and only there does the neighbourhood decide on the pseudonym.
+
+The key is the session's spark.docloom.pii.key or the environment's DOCLOOM_PII_KEY. Without either a session gets a random
+one: its pseudonyms are linked in all that it writes, and nobody can undo them.
 
 Defined results: a null text stays null and has no values; repeated rows are treated alike. All
 other text stays. Each row of the input gives a row; other columns are ignored by op7.
@@ -26,8 +29,11 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import os
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from secrets import token_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +42,22 @@ from docloom.llm.common import table
 
 ROUNDS = 10
 KINDS = ("email", "iban", "ip", "card", "date", "phone")
-DEMO_KEY = b"docloom demonstration key, replace"
+KEY_SETTING, KEY_VARIABLE = "spark.docloom.pii.key", "DOCLOOM_PII_KEY"
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?)@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![A-Za-z0-9])")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]+(?![A-Za-z0-9])(?: [A-Z0-9]+(?![A-Za-z0-9]))*", re.ASCII)
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2})\d{2}(?=[ -]?[A-Za-z0-9])", re.ASCII)
+# Characters of an IBAN by country.
+IBAN_SIZES = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 "
+    "PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
+IBAN_BODY = {n: re.compile(rf"[A-Za-z0-9]{{4}}(?:[ -]?[A-Za-z0-9]){{{n - 4}}}(?![A-Za-z0-9])", re.ASCII) for n in {*IBAN_SIZES.values()}}
+IBAN_OTHER = re.compile(r"[A-Za-z0-9]{15,34}(?![A-Za-z0-9])", re.ASCII)
+# Digits in the groups that card numbers are written in; those of 16 digits before longer ones that begin alike.
+CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (8, 8), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3))
 IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)", re.ASCII)
-CARD = re.compile(r"(?<!\d)\d+(?:[ -]\d+)*", re.ASCII)
+CARD_ROW = re.compile(r"(?<!\d)\d+(?:[ -]\d+)*", re.ASCII)
 DATE = re.compile(r"(?<![\d./-])(?:((?:19|20)\d\d)([-/.])(\d\d?)\2(\d\d?)|(\d\d?)([-/.])(\d\d?)\6((?:19|20)\d\d))(?![\d/-]|\.\d)", re.ASCII)
 PHONE = re.compile(r"(?<![\d+])(?:\+(\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)", re.ASCII)
 
@@ -50,7 +66,7 @@ FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 
 
 def _round(key: bytes, tweak: str, i: int, half: int, size: int) -> int:
-    h = hashlib.blake2b(f"{tweak}:{i}:{half}".encode(), key=key, digest_size=32).digest()
+    h = hashlib.blake2b(f"{tweak}:{i}:{half}".encode(), key=key if len(key) <= 64 else hashlib.sha512(key).digest(), digest_size=32).digest()
     return int.from_bytes(h, "big") % size
 
 
@@ -132,19 +148,51 @@ def email(m: re.Match, key: bytes, back: bool) -> str | None:
     return f"{_mixed(m[1], key, 'email', back)}@{m[2]}"
 
 
+def _bare(text: str) -> str:
+    return text.replace(" ", "").replace("-", "")
+
+
 def is_iban(text: str) -> bool:
-    plain = text.replace(" ", "")
-    return 15 <= len(plain) <= 34 and re.match(r"[A-Z]{2}\d\d", plain, re.ASCII) is not None and text[:4].isalnum() and _mod97(plain) == 1
+    plain = _bare(text)
+    return 15 <= len(plain) <= 34 and _mod97(plain) == 1
 
 
 def iban(text: str, key: bytes, back: bool) -> str:
     """The account part changes within its digits and letters; country and length stay, check digits are new."""
-    plain = text.replace(" ", "")
-    account = _mixed(plain[4:], key, f"iban{plain[:2]}", back)
+    plain = _bare(text)
+    account = _mixed(plain[4:], key, f"iban{plain[:2].upper()}", back)
     check = 98 - _mod97(f"{plain[:2]}00{account}")
     return _refill(text, f"{plain[:2]}{check:02d}{account}", str.isalnum)
 
 
+def _ibans(text: str, start: int = 0) -> Iterator[tuple[int, int]]:
+    """Places of IBANs from a place on."""
+    end = start
+    for m in IBAN_START.finditer(text, start):
+        if m.start() < end:
+            continue
+        size = IBAN_SIZES.get(m[1].upper())
+        found = (IBAN_BODY[size] if size else IBAN_OTHER).match(text, m.start())
+        if found and is_iban(found[0]):
+            end = found.end()
+            yield found.span()
+
+
+def find_ibans(text: str, taken: Taken, key: bytes, back: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of each."""
+    at = 0
+    for a, b in _ibans(text):
+        if taken.meet(a, b):
+            continue
+        new, near = text[a:b], text[max(at, a - 80) : a]
+        while True:
+            new = iban(new, key, back)
+            if next(_ibans(near + new + text[b : b + 1])) == (len(near), len(near) + b - a):
+                break
+        yield a, b, new
+        at = b
+
+
 def ip(m: re.Match, key: bytes, back: bool) -> str | None:
     """All four bytes as one number."""
     parts = m[0].split(".")
@@ -165,52 +213,50 @@ def card(text: str, key: bytes, back: bool) -> str:
     return _refill(text, new + luhn_digit(new))
 
 
-def _values(groups: list[tuple[int, int]], text: str, longest: int, valid: Callable[[str], bool]) -> list[tuple[int, int]]:
-    """The valid parts of a row of groups, longest first, of equal ones the first."""
-    parts = []
-    for i, (a, _) in enumerate(groups):
-        size = 0
-        for k in range(i, len(groups)):
-            b = groups[k][1]
-            size += b - groups[k][0]
-            if size > longest:
+def _cards(row: str, groups: list[tuple[int, int]], alone: bool = False) -> Iterator[tuple[int, int]]:
+    """First and last group of the card numbers in a row of groups; alone: the groups are all of the row."""
+    i, some = 0, False
+    sizes = [b - a for a, b in groups]
+    while i < len(groups):
+        forms = [1] if 13 <= sizes[i] <= 19 else [len(f) for f in CARD_GROUPS if tuple(sizes[i : i + len(f)]) == f]
+        for n in forms:
+            if is_card(row[groups[i][0] : groups[i + n - 1][1]]):
+                yield i, i + n - 1
+                some, i = True, i + n - 1
                 break
-            if size >= 13 and valid(text[a:b]):
-                parts.append((-size, i, k))
-    free, out = [True] * len(groups), []
-    for _, i, k in sorted(parts):
-        if all(free[i : k + 1]):
-            free[i : k + 1] = [False] * (k + 1 - i)
-            out.append((groups[i][0], groups[k][1]))
-    return sorted(out)
-
-
-def _grouped(rows: re.Pattern, longest: int, valid: Callable[[str], bool], change: Callable[[str, bytes, bool], str]) -> Callable:
-    """Finds values in rows of groups: (start, end, pseudonym) of each, beside the spans that are taken."""
-
-    def find(text: str, taken: list[tuple[int, int]], key: bytes, back: bool) -> Iterator[tuple[int, int, str]]:
-        for m in rows.finditer(text):
-            if m.end() - m.start() < 13:
-                continue
-            start, row = m.start(), m[0]
-            own = [(a - start, b - start) for a, b in taken if a < m.end() and m.start() < b]
-            blocks: list[list[tuple[int, int]]] = [[]]
-            for g in re.finditer(r"[A-Z0-9]+", row):
-                if any(g.start() < b and a < g.end() for a, b in own) or rows is CARD and g.start() == 0 and text[max(start - 1, 0) : start] in ("+", "-"):
-                    blocks.append([])
-                else:
-                    blocks[-1].append(g.span())
-            for groups in blocks:
-                spans = _values(groups, row, longest, valid)
-                new = row
-                while spans:
-                    for a, b in spans:
-                        new = new[:a] + change(new[a:b], key, back) + new[b:]
-                    if _values(groups, new, longest, valid) == spans:
-                        break
-                yield from ((start + a, start + b, new[a:b]) for a, b in spans)
+        i += 1
+    if alone and not some and len(groups) > 1 and 13 <= sum(sizes) <= 19 and is_card(row[groups[0][0] : groups[-1][1]]):
+        yield 0, len(groups) - 1
 
-    return find
+
+def find_cards(text: str, taken: Taken, key: bytes, back: bool) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of each."""
+    for m in CARD_ROW.finditer(text):
+        if m.end() - m.start() < 13:
+            continue
+        rows: list[list[tuple[int, int]]] = [[]]
+        whole = True
+        for g in re.finditer(r"\d+", m[0]):
+            a, b = g.start() + m.start(), g.end() + m.start()
+            if taken.meet(a, b) or g.start() == 0 and text[max(a - 1, 0) : a] in ("+", "-"):
+                rows.append([])
+                whole = False
+            else:
+                rows[-1].append((a, b))
+        for groups in rows:
+            free = 0
+            for i, k in _cards(text, groups, alone=whole):
+                # A value that begins before this one has five groups at most.
+                first = max(free, i - 4)
+                a, b, from_ = groups[i][0], groups[k][1], groups[first][0]
+                near = [(x - from_, y - from_) for x, y in groups[first : k + 1]]
+                new = text[a:b]
+                while True:
+                    new = card(new, key, back)
+                    if next(_cards(text[from_:a] + new, near, alone=whole and len(groups) == len(near)), None) == (i - first, k - first):
+                        break
+                yield a, b, new
+                free = k + 1
 
 
 def date(m: re.Match, key: bytes, back: bool) -> str | None:
@@ -251,7 +297,30 @@ def phone(m: re.Match, key: bytes, back: bool) -> str | None:
     return ("+" + code if code else "") + _refill(rest, digits(plain, key, f"phone{code}", back))
 
 
-RULES = ((EMAIL, email), (IBAN, _grouped(IBAN, 34, is_iban, iban)), (IP, ip), (CARD, _grouped(CARD, 19, is_card, card)), (DATE, date), (PHONE, phone))
+class Taken:
+    """Spans that don't overlap, in which places are looked up."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.spans = sorted(spans)
+        self.starts = [a for a, _ in self.spans]
+
+    def meet(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.spans[k][1] > a
+
+
+def _each(pattern: re.Pattern, change: Callable[[re.Match, bytes, bool], str | None]) -> Callable:
+    """Finds values that a pattern matches whole: (start, end, pseudonym) of each."""
+
+    def find(text: str, taken: Taken, key: bytes, back: bool) -> Iterator[tuple[int, int, str]]:
+        for m in pattern.finditer(text):
+            if not taken.meet(*m.span()) and (new := change(m, key, back)) is not None:
+                yield *m.span(), new
+
+    return find
+
+
+FINDERS = (_each(EMAIL, email), find_ibans, _each(IP, ip), find_cards, _each(DATE, date), _each(PHONE, phone))
 
 
 def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, int]]]:
@@ -259,20 +328,14 @@ def replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[
     if not re.search(r"\d", text, re.ASCII) and "@" not in text:
         return text, []
     found: list[tuple[int, int, int, str]] = []
-    for kind, (pattern, change) in enumerate(RULES):
+    for kind, find in enumerate(FINDERS):
         if kind == 0 and "@" not in text:
             continue
-        if pattern in (IBAN, CARD):
-            taken = [(a, b) for a, _, b, _ in found]
-            if pattern is CARD:
-                taken += [m.span() for m in DATE.finditer(text) if date(m, key, back) is not None]
-            found += [(a, kind, b, new) for a, b, new in change(text, taken, key, back)]
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < y and x < b for x, _, y, _ in found) or (new := change(m, key, back)) is None:
-                continue
-            found.append((a, kind, b, new))
+        spans = [(a, b) for a, _, b, _ in found]
+        taken = Taken(spans)
+        if find is find_cards:
+            taken = Taken(spans + [(a, b) for a, b, _ in FINDERS[4](text, taken, key, back)])
+        found += [(a, kind, b, new) for a, b, new in find(text, taken, key, back)]
     found.sort()
     out, at = [], 0
     for a, _, b, new in found:
@@ -307,8 +370,17 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'n_{k} bigint' for k in KINDS)}, spans string, text string")
 
 
+_RANDOM_KEY = token_bytes(32)
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key that is configured, or this process's random one."""
+    said = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE)
+    return said.encode() if said else _RANDOM_KEY
+
+
 def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), DEMO_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 QUERIES = {"op7_feistel": op7_feistel}
