@@ -7,8 +7,8 @@ the best balance of errors on the labelled ones (the share of bad ones that stay
 go), among those at which at least KEEP of the good ones stay; without bad ones, at least KEEP_ALONE stay.
 
 The forest and its threshold come from at most MAX_LABELLED labelled documents (those with the smallest
-hashes of doc_id, a bound that does not grow with the corpus); only their statistics reach the
-driver. Statistics and scores cover every document and the whole of its text, one pass, no shuffle.
+hashes of doc_id, a bound that does not grow with the corpus; of rows that share a doc_id the one with the
+smallest statistics); only their statistics reach the driver. Statistics and scores cover every document and the whole of its text, one pass, no shuffle.
 
 Defined results: a null or empty text has no words and fails; without labelled good
 documents nothing but the rules rejects; where a document is labelled several times the
@@ -161,16 +161,18 @@ def _measured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(x.as_py()) for x in batch.column("raw")]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.list_(pa.int64()))], names=["quality", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "quality", "s"])
 
-    return docs.select("quality", F.col("text").cast("binary").alias("raw")).mapInArrow(run, "quality int, s array<bigint>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "quality", F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"doc_id {kind}, quality int, s array<bigint>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep: float = KEEP) -> tuple[Forest, float] | None:
     """The forest and the score beyond which documents go; None without labelled good documents."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = _measured(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")).limit(2 * max_labelled).collect()
+    measured = _measured(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"))
+    rows = measured.groupBy("doc_id").agg(F.min(F.struct("quality", "s")).alias("x")).select("x.*").collect()
     if not rows:
         return None
     s, good = np.array([r["s"] for r in rows]), np.array([r["quality"] for r in rows]) > 0
