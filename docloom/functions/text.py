@@ -5,6 +5,8 @@ Patterns carry (?U): white space and digits are Unicode's, as in the rules these
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ from pyspark.sql import functions as F
 WS = r"[\s\x1c-\x1f]"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, even where f uses it several times or inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.folds import running
 from docloom.functions.text import base_name, image_references
 
 # What one upload may hold.
@@ -60,14 +61,14 @@ def upload_batches(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), most_f
     """
     ordered = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")))).alias("files"))
     zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), zero.alias("bytes"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), zero.alias("bytes"))
 
     def step(a: Column, x: Column) -> Column:
         full = (a["n"] > 0) & ((a["n"] >= most_files) | (a["bytes"] + x["size"] > most_bytes))
-        batch = a["batch"] + full.cast("int")
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(a["bytes"] + x["size"]).alias("bytes"), F.array_append(a["out"], batch).alias("out"))
+        return F.struct((a["batch"] + full.cast("int")).alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["size"]).otherwise(a["bytes"] + x["size"]).alias("bytes"))
 
-    placed = ordered.select(*keys, "files", F.aggregate("files", start, step, lambda a: a["out"]).alias("batches"))
+    states = running(F.col("files"), start, step, ("batch", "n", "bytes"), "struct<batch:int,n:int,bytes:bigint>")
+    placed = ordered.select(*keys, "files", F.transform(states, lambda s: s["batch"]).alias("batches"))
     rows = placed.select(*keys, F.explode(F.arrays_zip("files", "batches")).alias("x"))
     return rows.select(*keys, F.col("x.files.name").alias("name"), F.col("x.files.size").alias("size"), F.col("x.batches").alias("batch"))
 

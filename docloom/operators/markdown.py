@@ -1,8 +1,9 @@
 """Markdown texts to typed, ordered blocks, and back.
 
 Segmentation is one fold per document over its lines. Each line is classified once; the fold's state
-is the open construct and the places where blocks start and end, so that its cost grows with lines and
-blocks and no line is copied. Blocks are then cut from the line array. No shuffle, no Python.
+is the open construct and the places where blocks start and end, so that no line is copied. A fold copies its state at every step: so one
+without places finds what is open at the start of each run of RUN lines, and one in each run gathers its places. Blocks are then cut from
+the line array. No shuffle, no Python.
 
 blocks: key columns, block_no, block_id, type, source_text, normalized_text ('' if unset), level, title,
 lang, kind, restored, converted.
@@ -13,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import WS, effective_text, strip
+from docloom.functions.text import WS, bound, effective_text, strip
 
 TYPES = ("heading", "paragraph", "list", "table", "blockquote", "code", "math", "image", "thematic_break", "raw")
+#: Lines whose places are gathered in one fold.
+RUN = 128
 KEPT_AS_IS = ("code", "math", "image", "thematic_break")
 
 # How lines are told apart, in the order in which they are tried.
@@ -61,9 +64,11 @@ def _classes(lines: Column) -> Column:
 
 def _marks(lines: Column, compat: bool) -> Column:
     """array<struct<i, k>>: where blocks start (k: class) and where lines outside blocks start (k empty)."""
-    start = F.struct(F.lit("").alias("mode"), F.lit("").alias("fence"), F.array().cast("array<struct<i:int,k:string>>").alias("marks"), F.lit(0).alias("i"))
+    none = F.lit("")
+    mark = lambda at, k: F.struct(at.cast("int").alias("i"), k.alias("k"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column, placed: bool) -> Column:
+        """The construct that is open after a line, with its fence; placed: and the places so far, and the next line's."""
         mode, kind = a["mode"], x["k"]
         inside = (
             mode.isin("fence", "math", "html", "pipe1")
@@ -73,19 +78,35 @@ def _marks(lines: Column, compat: bool) -> Column:
             | (mode == "text") & (kind != "blank") & ~kind.isin(*STOPS)
         )
         closes = (mode == "fence") & (x["f"] == a["fence"]) | (mode == "math") & (kind == "math") | (mode == "html") & x["e"]
-        opened = F.when(kind == "pipe", "pipe1").when(kind.isin("fence", "math", "list", "quote", "text"), kind).when((kind == "html") & (F.lit(compat) | ~x["e"]), "html").otherwise("")
-        after = F.when(inside, F.when(closes, "").when(mode == "pipe1", "pipe").otherwise(mode)).when(kind == "blank", "").otherwise(opened)
-        mark = lambda at, k: F.struct(at.cast("int").alias("i"), k.alias("k"))
-        none = F.lit("")
-        marks = (
-            F.when(inside, F.when(closes, F.array_append(a["marks"], mark(a["i"] + 1, none))).otherwise(a["marks"]))
-            .when(kind == "blank", F.when(mode != "", F.array_append(a["marks"], mark(a["i"], none))).otherwise(a["marks"]))
-            .when(opened == "", F.concat(a["marks"], F.array(mark(a["i"], kind), mark(a["i"] + 1, none))))
-            .otherwise(F.array_append(a["marks"], mark(a["i"], kind)))
+        opened = F.when(kind == "pipe", "pipe1").when(kind == "html", F.when(F.lit(compat) | ~x["e"], "html").otherwise("")).when(kind.isin("fence", "math", "list", "quote", "text"), kind).otherwise("")
+
+        def after(mode: Column, *marks: Column, fence: Column = a["fence"]) -> Column:
+            own = [F.concat(a["marks"], F.array(*marks)).alias("marks") if marks else a["marks"].alias("marks"), (a["i"] + 1).alias("i")] if placed else []
+            return F.struct(mode.alias("mode"), fence.alias("fence"), *own)
+
+        at = a["i"] if placed else F.lit(0)
+        return (
+            F.when(inside, F.when(closes, after(none, mark(at + 1, none))).otherwise(after(F.when(mode == "pipe1", "pipe").otherwise(mode))))
+            .when(kind == "blank", F.when(mode == "", after(none)).otherwise(after(none, mark(at, none))))
+            .when(opened == "", after(none, mark(at, kind), mark(at + 1, none)))
+            .otherwise(after(opened, mark(at, kind), fence=F.when(kind == "fence", F.regexp_extract(x["f"], FENCE, 1)).otherwise(a["fence"])))
         )
-        return F.struct(after.alias("mode"), F.when(~inside & (kind == "fence"), F.regexp_extract(x["f"], FENCE, 1)).otherwise(a["fence"]).alias("fence"), marks.alias("marks"), (a["i"] + 1).alias("i"))
 
-    return F.aggregate(_classes(lines), start, step, lambda a: a["marks"])
+    def places(runs: Column, states: Column) -> Column:
+        def of_run(run: Column, j: Column) -> Column:
+            state = F.get(states, j)
+            start = F.struct(state["mode"].alias("mode"), state["fence"].alias("fence"), F.array().cast("array<struct<i:int,k:string>>").alias("marks"), (j * RUN).alias("i"))
+            return F.aggregate(run, start, lambda a, x: step(a, x, True), lambda a: a["marks"])
+
+        return F.flatten(F.transform(runs, of_run))
+
+    def folded(runs: Column) -> Column:
+        begin = F.array(F.struct(none.alias("mode"), none.alias("fence")))
+        states = F.aggregate(F.slice(runs, 1, F.size(runs) - 1), begin, lambda a, run: F.array_append(a, F.aggregate(run, F.element_at(a, -1), lambda b, x: step(b, x, False))))
+        return bound(states, lambda s: places(runs, s))
+
+    split = lambda classes: F.transform(F.sequence(F.lit(1), F.size(classes), F.lit(RUN)), lambda at: F.slice(classes, at, RUN))
+    return bound(_classes(lines), lambda classes: bound(split(classes), folded))
 
 
 def parse_markdown(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), compat: bool = False) -> DataFrame:
@@ -123,7 +144,6 @@ def is_translatable(type_: Column) -> Column:
 
 def serialize_markdown(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",), separator: str = "\n\n") -> DataFrame:
     """keys and text: the blocks' texts in order, without empty ones, with one newline at the end."""
-    text = F.trim(effective_text(F.col("normalized_text"), F.col("source_text")), F.lit("\n"))
     own = effective_text(F.col("normalized_text"), F.col("source_text"))
     text = F.regexp_replace(own, r"\n+\z", "")
     held = blocks.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.when(own != "", F.struct("block_no", text.alias("t"))))), lambda x: x["t"]).alias("parts"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from docloom.operators import chunking, cleanup, layout, markdown, tables
@@ -47,7 +48,7 @@ def test_one_line_table_compat(spark):
 
 def test_metadata(spark):
     df = spark.createDataFrame([(1, "##  Two words \n```py\n```\n<table></table>\n|a|\n|-|"), (2, None)], "doc_id long, text string")
-    got = markdown.parse_markdown(df).orderBy("block_no").collect()
+    got = markdown.markdown.parse_markdown(df).orderBy("block_no").collect()
     assert [(r.block_id, r.type, r.level, r.title, r.lang, r.kind, r.normalized_text != "") for r in got] == [
         ("block-000001", "heading", 2, "Two words", None, None, False), ("block-000002", "code", None, None, "py", None, True),
         ("block-000003", "table", None, None, None, "html", False), ("block-000004", "table", None, None, None, "md", False),
@@ -121,7 +122,7 @@ def test_tables(spark):
     for none in ("no table", "<table></table>", "", None, '<table><tr><td colspan="9999">x</td></tr></table>'):
         assert tables.table_rows(none) is None
     df = spark.createDataFrame([(1, HTML[len("<p>x</p>") :].replace("\n", " ")), (2, "<table>\nnothing\n</table>")], "doc_id long, text string")
-    got = {r.doc_id: r for r in tables.convert_tables(markdown.parse_markdown(df)).filter("type = 'table'").collect()}
+    got = {r.doc_id: r for r in tables.convert_tables(markdown.markdown.parse_markdown(df)).filter("type = 'table'").collect()}
     assert got[1].normalized_text == "| A \\| B | A \\| B | C |\n| --- | --- | --- |\n| 1 2 | x & y |  |\n| 1 2 | z | w |"
     assert got[1].kind == "md" and got[1].converted and got[2].kind == "html" and not got[2].converted
 
@@ -129,7 +130,7 @@ def test_tables(spark):
 def test_dedupe(spark):
     text = "![a](x)\n![a](x)\n![b](x)\n\npara  one\n\npara one\n\n![c](x)\n![d](y)\n\n---\n---"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    got = [r.normalized_text for r in cleanup.clean(markdown.parse_markdown(df)).orderBy("block_no").collect()]
+    got = [r.normalized_text for r in cleanup.clean(markdown.markdown.parse_markdown(df)).orderBy("block_no").collect()]
     assert got == ["![a](x)", "para one", "![c](x)", "![d](y)", "---"]
 
 
@@ -197,3 +198,23 @@ def test_invariants(spark):
     once = cleanup.clean(cleanup.fill_text(blocks))
     twice = cleanup.clean(once)
     assert once.count() == twice.count() and once.exceptAll(twice).isEmpty()
+
+
+def test_time_grows_with_blocks(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "\n".join(f"# h{i}" if i % 3 else "```\nx\n```" for i in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert markdown.parse_markdown(df).agg(F.max("block_no")).first()[0] == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    few, many = seconds(25_000), seconds(200_000)
+    assert many < 10 and many < 20 * few + 1
+
+
+def test_constructs_go_on_over_runs(spark):
+    """What is open at the end of a run of lines stays open."""
+    for size in (126, 127, 128, 129, 300):
+        text = "\n".join(["para"] * 5 + [""] * 3 + ["```py"] + ["# no heading"] * size + ["```", "", "> q"] + ["> r"] * size + ["- a"] * size + ["$$"] + ["x"] * size + ["$$"])
+        rows = markdown.parse_markdown(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block_no").collect()
+        assert [(r.type, r.source_text.count("\n") + 1) for r in rows] == [("paragraph", 5), ("code", size + 2), ("blockquote", size + 1), ("list", size), ("math", size + 2)]
