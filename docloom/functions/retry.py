@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import random
-import time
-from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,36 +19,34 @@ RETRY_CODES = (RATE_LIMIT, OVERLOAD, *TRANSIENT, EMPTY_REPLY)
 UPLOAD_RETRY_CODES = ("RATE_LIMIT", "INTERNAL_ERROR", "PARTIAL_UPLOAD_NOT_COMMITTED")
 
 
-@dataclass(frozen=True)
-class RetryPolicy:
-    max_retries: int = 2
-    backoff_base: float = 2.0
-    initial_delay: float = 2.0
-    rate_limit_base: float = 10.0
-    overload_base: float = 30.0
-    max_delay: float = 300.0
-    request_interval: float = 3.0
-    jitter_ratio: float = 0.3
+# Seconds before the first further attempt, by what was reported, the longest wait, and the part by which chance may stretch one.
+FIRST_WAIT, OTHER_FIRST_WAIT = {RATE_LIMIT: 10.0, OVERLOAD: 30.0}, 2.0
+LONGEST_WAIT, STRETCH = 300.0, 0.3
 
-    def start(self, status: int | None) -> float:
-        return {OVERLOAD: self.overload_base, RATE_LIMIT: self.rate_limit_base}.get(status, self.initial_delay)
 
-    def delay(self, attempt: int, status: int | None = None, jitter: bool = True) -> float:
-        wait = min(self.start(status) * self.backoff_base**attempt, self.max_delay)
-        return min(wait * (1 + random.uniform(0, self.jitter_ratio) * jitter), self.max_delay)
+class Patience(NamedTuple):
+    """How often to try again, by what each further wait grows, and what lies between two requests at least; stretch: of waits, by chance."""
 
-    def sleep(self, attempt: int, status: int | None = None) -> None:
-        time.sleep(self.delay(attempt, status))
+    more: int = 2
+    growth: float = 2.0
+    gap: float = 3.0
+    stretch: float = STRETCH
 
-    def sleep_interval(self) -> None:
-        if self.request_interval > 0:
-            time.sleep(self.request_interval * (1 + random.uniform(0, max(self.jitter_ratio, 0))))
+    def wait(self, attempt: int, code: int | str | None = None) -> float:
+        """Seconds after a failed attempt (from 0)."""
+        plain = min(FIRST_WAIT.get(code, OTHER_FIRST_WAIT) * self.growth**attempt, LONGEST_WAIT)
+        return min(plain * (1 + random.uniform(0, self.stretch)), LONGEST_WAIT)
 
-    @staticmethod
-    def retries(status: int | None, failed: bool = False) -> bool:
-        if status in FINAL_STATUS or status in QUOTA or status in CONTENT_FILTER:
-            return False
-        return status in RETRY_STATUS or status in RETRY_CODES or failed
+    def between(self) -> float:
+        """Seconds between two requests."""
+        return max(self.gap, 0.0) * (1 + random.uniform(0, self.stretch))
+
+
+def worth_retrying(code: int | str | None, failed: bool = False) -> bool:
+    """What is_retryable says of columns."""
+    if code in (*FINAL_STATUS, *QUOTA, *CONTENT_FILTER):
+        return False
+    return failed or code in (*RETRY_STATUS, *RETRY_CODES)
 
 
 def is_retryable(status: Column, failed: Column) -> Column:
@@ -65,12 +62,11 @@ def is_overload(status: Column) -> Column:
     return F.coalesce(status == OVERLOAD, F.lit(False))
 
 
-def backoff(attempt: Column, status: Column, policy: RetryPolicy | None = None, jitter: bool = False) -> Column:
-    """Seconds before a further attempt (from 0); with jitter up to jitter_ratio longer, never beyond the cap."""
-    p = policy or RetryPolicy()
-    start = F.when(is_overload(status), p.overload_base).when(is_rate_limit(status), p.rate_limit_base).otherwise(p.initial_delay)
-    wait = F.least(start * F.pow(F.lit(p.backoff_base), attempt), F.lit(p.max_delay))
-    return F.least(wait * (1 + F.rand() * p.jitter_ratio), F.lit(p.max_delay)) if jitter else wait
+def backoff(attempt: Column, status: Column, growth: float = Patience().growth, jitter: bool = False) -> Column:
+    """Seconds before a further attempt (from 0); with jitter longer by STRETCH at most, never beyond the longest wait."""
+    start = F.coalesce(*(F.when(status == code, wait) for code, wait in FIRST_WAIT.items()), F.lit(OTHER_FIRST_WAIT))
+    wait = F.least(start * F.pow(F.lit(growth), attempt), F.lit(LONGEST_WAIT))
+    return F.least(wait * (1 + F.rand() * STRETCH), F.lit(LONGEST_WAIT)) if jitter else wait
 
 
 def upload_retryable(status: Column, code: Column) -> Column:

@@ -46,12 +46,12 @@ def mime_type(name: Column) -> Column:
     return F.coalesce(*(F.when(extension == e, m) for e, m in MIME.items()), F.lit("application/octet-stream"))
 
 
-def upload_records(files: DataFrame) -> DataFrame:
-    """name, contentBase64, mimeType, sha256 of files (name, content), and error where one is too large."""
+def upload_records(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, name, contentBase64, mimeType, sha256 of files (name, content), and error where one is too large."""
     mime = mime_type(F.col("name"))
     large = F.octet_length("content") > MOST_FILE_BYTES
     data = F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64("content"), r"\s", ""))
-    return files.select("name", F.when(~large, data).alias("contentBase64"), mime.alias("mimeType"), F.sha2("content", 256).alias("sha256"), F.when(large, F.concat(F.lit("larger than "), F.lit(MOST_FILE_BYTES), F.lit(" bytes: "), F.col("name"))).alias("error"))
+    return files.select(*keys, "name", F.when(~large, data).alias("contentBase64"), mime.alias("mimeType"), F.sha2("content", 256).alias("sha256"), F.when(large, F.concat(F.lit("larger than "), F.lit(MOST_FILE_BYTES), F.lit(" bytes: "), F.col("name"))).alias("error"))
 
 
 def upload_batches(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -1,32 +1,36 @@
-"""Remote services behind small interfaces: document parsers, image hosts, translators.
+"""Remote services: document parsers, translators, image hosts.
 
-Nothing here opens a connection by itself. A transport does, which a deployment brings; Replay answers from
-recorded replies, for tests and offline runs. Calls are made from Spark tasks, so that a task that
+What a service is asked for is a task that goes from stage to stage: call() says what to send in a state, and step() what a reply
+makes of it. Neither opens a connection or waits; run() does, the same for all of them, through a Transport. Http is one; Replay
+answers from recorded replies, for tests and offline runs. Calls are made from Spark tasks, so that a task that
 is tried again repeats its calls: requests carry keys that are equal for equal work, and speculation should be off.
 """
 
 from __future__ import annotations
 
+import http.client
 import json
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.retry import EMPTY_REPLY, RetryPolicy
+from docloom.functions.retry import EMPTY_REPLY, UPLOAD_RETRY_CODES, Patience, worth_retrying
 from docloom.sources.archives import ArchiveError
 
 
 class ServiceError(RuntimeError):
-    """A failed call; code is the service's own or the HTTP status."""
+    """A failed task; code is the service's own or the HTTP status."""
 
-    def __init__(self, message: str, code: int | str | None = None, retry_after: float | None = None) -> None:
+    def __init__(self, message: str, code: int | str | None = None) -> None:
         super().__init__(message)
-        self.code, self.retry_after = code, retry_after
+        self.code = code
 
 
 @dataclass
@@ -41,46 +45,136 @@ class Reply:
             return None
 
 
+class Call(NamedTuple):
+    method: str
+    url: str
+    headers: dict[str, str] | None = None
+    body: bytes | None = None
+
+
 class Transport(ABC):
     @abstractmethod
     def call(self, method: str, url: str, headers: dict[str, str] | None = None, body: bytes | None = None) -> Reply: ...
 
 
+@dataclass
+class Http(Transport):
+    """A connection for each call, with limits in seconds for connecting, writing and reading. Certificates are verified; up to
+    five redirects of a GET are followed."""
+
+    connect: float = 5.0
+    read: float = 600.0
+    write: float = 600.0
+
+    def call(self, method: str, url: str, headers: dict[str, str] | None = None, body: bytes | None = None) -> Reply:
+        for _ in range(6):
+            at = urlsplit(url)
+            if at.scheme not in ("http", "https") or not at.hostname:
+                raise ServiceError(f"not an HTTP address: {url[:200]}")
+            kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+            link = kind(at.hostname, at.port, timeout=self.connect)
+            try:
+                link.connect()
+                link.sock.settimeout(self.write)
+                link.request(method, (at.path or "/") + (f"?{at.query}" if at.query else ""), body, headers or {})
+                link.sock.settimeout(self.read)
+                got = link.getresponse()
+                if method == "GET" and got.status in (301, 302, 303, 307, 308) and (to := got.getheader("Location")):
+                    url = to if "://" in to else f"{at.scheme}://{at.netloc}{to}"
+                    continue
+                return Reply(got.status, got.read())
+            except http.client.HTTPException as e:
+                raise ConnectionError(f"{method} {at.hostname}: {type(e).__name__}") from e
+            finally:
+                link.close()
+        raise ServiceError(f"too many redirects: {url[:200]}")
+
+
 @dataclass
 class Replay(Transport):
     """Recorded replies by method and URL, each list in its order; the last one repeats."""
 
     replies: dict[tuple[str, str], list[Reply]]
     calls: list[tuple[str, str]] = field(default_factory=list)
+    bodies: list[bytes | None] = field(default_factory=list)
 
     def call(self, method: str, url: str, headers: dict[str, str] | None = None, body: bytes | None = None) -> Reply:
         self.calls.append((method, url))
+        self.bodies.append(body)
         own = self.replies.get((method, url))
         if not own:
             raise ConnectionError(f"no reply recorded for {method} {url}")
         return own.pop(0) if len(own) > 1 else own[0]
 
 
+class State(NamedTuple):
+    """Where a task stands: its stage, what it knows, and how long to wait before the next call. The last stage is DONE."""
+
+    stage: str
+    known: dict
+    wait: float = 0.0
+
+
+DONE = "done"
+
+
+class Service(ABC):
+    """What a kind of task sends, and what replies make of it."""
+
+    @abstractmethod
+    def call(self, state: State) -> Call: ...
+
+    @abstractmethod
+    def step(self, state: State, reply: Reply | Exception) -> State:
+        """The next state after a reply, or after a call that failed before there was one; ServiceError if there is none."""
+
+
+def run(service: Service, state: State, transport: Transport, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """What a task knows when it is done."""
+    while state.stage != DONE:
+        if state.wait:
+            sleep(state.wait)
+        try:
+            got: Reply | Exception = transport.call(*service.call(state))
+        except (OSError, ValueError) as e:
+            got = e
+        state = service.step(state, got)
+    return state.known
+
+
+def _json_headers(token: str) -> dict[str, str]:
+    return {"Authorization": f"Bearer {token}", "Content-Type": "application/json", "Accept": "application/json"}
+
+
+def _part(value: object, *path: str | int) -> object:
+    """What lies at a path of an answer; None where the path ends early."""
+    for key in path:
+        try:
+            value = value[key]
+        except (KeyError, IndexError, TypeError):
+            return None
+    return value
+
+
 # --- document parser --------------------------------------------------------------------------------------------
 
 
 def poll_state(reply: object) -> tuple[str, str]:
     """(done, archive URL), (failed, message) or (waiting, '') of a reply to a status request."""
-    results = ((reply.get("data") or {}) if isinstance(reply, dict) else {}).get("extract_result") or []
-    if not results:
+    first = _part(reply, "data", "extract_result", 0)
+    if not first:
         return "failed", "the reply has no result"
-    state = results[0].get("state")
-    if state == "done":
-        url = results[0].get("full_zip_url")
-        return ("done", url) if url else ("failed", "done without an archive")
-    if state == "failed":
-        return "failed", str(results[0].get("err_msg") or results[0].get("message") or "unknown error")
-    return "waiting", ""
+    url, said = _part(first, "full_zip_url"), _part(first, "err_msg") or _part(first, "message") or "unknown error"
+    outcomes = {"done": ("done", url) if url else ("failed", "done without an archive"), "failed": ("failed", str(said))}
+    return outcomes.get(_part(first, "state"), ("waiting", ""))
 
 
 @dataclass
-class DocumentParser:
-    """Submit a file, upload it, poll until it is done, download the archive."""
+class DocumentParser(Service):
+    """A file's way through a parser: submit it, upload it, poll until it is done, download the archive.
+
+    known: name, content; then batch, url; at the end archive.
+    """
 
     transport: Transport
     base_url: str
@@ -91,45 +185,44 @@ class DocumentParser:
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.time
 
-    def _json(self, method: str, url: str, payload: dict | None = None) -> object:
-        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.token}"}
-        reply = self.transport.call(method, url, headers, json.dumps(payload).encode() if payload is not None else None)
+    def call(self, state: State) -> Call:
+        known, own = state.known, _json_headers(self.token)
+        if state.stage == "submit":
+            return Call("POST", f"{self.base_url}/file-urls/batch", own, json.dumps({**self.options, "files": [{"name": known["name"], "is_ocr": True}]}).encode())
+        if state.stage == "poll":
+            return Call("GET", f"{self.base_url}/extract-results/batch/{known['batch']}", own)
+        return Call("PUT", known["url"], None, known["content"]) if state.stage == "upload" else Call("GET", known["url"])
+
+    def step(self, state: State, reply: Reply | Exception) -> State:
+        if isinstance(reply, Exception):
+            raise ServiceError(f"{state.stage}: {reply}") from reply
         if reply.status >= 400:
-            raise ServiceError(f"{method} {url}: HTTP {reply.status}", reply.status)
-        return reply.json()
+            raise ServiceError(f"{state.stage}: HTTP {reply.status}", reply.status)
+        return getattr(self, f"_after_{state.stage}")(state.known, reply)
 
-    def submit(self, filename: str) -> tuple[str, str]:
-        said = self._json("POST", f"{self.base_url}/file-urls/batch", {**self.options, "files": [{"name": filename, "is_ocr": True}]})
-        data = (said.get("data") or {}) if isinstance(said, dict) else {}
-        if not isinstance(said, dict) or said.get("code") != 0 or not data.get("batch_id") or not data.get("file_urls"):
+    def _after_submit(self, known: dict, reply: Reply) -> State:
+        said = reply.json()
+        batch, url = _part(said, "data", "batch_id"), _part(said, "data", "file_urls", 0)
+        if _part(said, "code") != 0 or not batch or not url:
             raise ServiceError(f"no upload URL: {said}")
-        return data["batch_id"], data["file_urls"][0]
-
-    def upload(self, url: str, content: bytes) -> None:
-        if (reply := self.transport.call("PUT", url, None, content)).status >= 400:
-            raise ServiceError(f"upload: HTTP {reply.status}", reply.status)
-
-    def poll(self, batch_id: str) -> str:
-        deadline = self.clock() + self.poll_timeout
-        while True:
-            state, said = poll_state(self._json("GET", f"{self.base_url}/extract-results/batch/{batch_id}"))
-            if state == "done":
-                return said
-            if state == "failed":
-                raise ServiceError(said)
-            if self.clock() > deadline:
-                raise ServiceError("polling timed out")
-            self.sleep(self.poll_interval)
-
-    def download(self, url: str) -> bytes:
-        if (reply := self.transport.call("GET", url)).status >= 400:
-            raise ServiceError(f"download: HTTP {reply.status}", reply.status)
-        return reply.body
+        return State("upload", {**known, "batch": batch, "url": url})
+
+    def _after_upload(self, known: dict, _: Reply) -> State:
+        return State("poll", {"batch": known["batch"], "until": self.clock() + self.poll_timeout})
+
+    def _after_poll(self, known: dict, reply: Reply) -> State:
+        outcome, said = poll_state(reply.json())
+        if outcome == "failed":
+            raise ServiceError(said)
+        if outcome == "waiting" and self.clock() > known["until"]:
+            raise ServiceError("polling timed out")
+        return State("poll", known, self.poll_interval) if outcome == "waiting" else State("download", {"url": said})
+
+    def _after_download(self, known: dict, reply: Reply) -> State:
+        return State(DONE, {"archive": reply.body})
 
     def parse(self, filename: str, content: bytes) -> bytes:
-        batch_id, url = self.submit(filename)
-        self.upload(url, content)
-        return self.download(self.poll(batch_id))
+        return run(self, State("submit", {"name": filename, "content": content}), self.transport, self.sleep)["archive"]
 
 
 def parse_documents(files: DataFrame, make_parser: Callable[[], DocumentParser]) -> DataFrame:
@@ -167,11 +260,11 @@ PROMPT = """Translate the document into {target_lang}. Keep formulas, code, stru
 
 
 @dataclass
-class ChatTranslator(Translator):
-    """A chat service, called until it gives a usable reply or the policy ends.
+class ChatTranslator(Translator, Service):
+    """A chat service, asked until it gives a usable reply or patience ends.
 
     Blank texts are not sent. Empty replies are tried again; where they persist the result is empty, and the
-    caller keeps the source.
+    caller keeps the source. known: text, lang, attempt; at the end said.
     """
 
     transport: Transport
@@ -180,40 +273,43 @@ class ChatTranslator(Translator):
     model: str
     temperature: float = 0.7
     top_p: float = 0.9
-    policy: RetryPolicy = field(default_factory=RetryPolicy)
+    patience: Patience = Patience()
     sleep: Callable[[float], None] = time.sleep
 
-    def _once(self, text: str, target_lang: str) -> str:
-        payload = {"model": self.model, "messages": [{"role": "system", "content": PROMPT.format(target_lang=target_lang)}, {"role": "user", "content": text}], "temperature": self.temperature, "top_p": self.top_p}
-        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"}
-        reply = self.transport.call("POST", f"{self.base_url.rstrip('/')}/chat/completions", headers, json.dumps(payload, ensure_ascii=False).encode())
+    def call(self, state: State) -> Call:
+        messages = [{"role": "system", "content": PROMPT.format(target_lang=state.known["lang"])}, {"role": "user", "content": state.known["text"]}]
+        asked = {"model": self.model, "messages": messages, "temperature": self.temperature, "top_p": self.top_p}
+        return Call("POST", f"{self.base_url.rstrip('/')}/chat/completions", _json_headers(self.api_key), json.dumps(asked, ensure_ascii=False).encode())
+
+    def outcome(self, reply: Reply | Exception) -> tuple[str, int | None, str, bool]:
+        """What was said; else the code, a message, and whether the call failed in a way that may pass."""
+        if isinstance(reply, Exception):
+            return "", None, str(reply), True
         body = reply.json()
-        error = body.get("error") if isinstance(body, dict) else None
+        error = _part(body, "error")
         if reply.status >= 400 or error:
-            raise ServiceError(str(error or reply.body[:200]), own_code(body) or (reply.status if reply.status >= 400 else -1))
-        return thoughtless(reply_content(body))
+            return "", own_code(body) or (reply.status if reply.status >= 400 else -1), str(error or reply.body[:200]), False
+        try:
+            said = thoughtless(reply_content(body))
+        except (ValueError, AttributeError, TypeError) as e:
+            return "", None, str(e), True
+        return said, EMPTY_REPLY, "empty reply", True
+
+    def step(self, state: State, reply: Reply | Exception) -> State:
+        said, code, message, passing = self.outcome(reply)
+        attempt = state.known["attempt"]
+        if said.strip():
+            return State(DONE, {"said": said})
+        if not worth_retrying(code, passing):
+            raise ServiceError(message, code)
+        if attempt < self.patience.more:
+            return State("ask", {**state.known, "attempt": attempt + 1}, self.patience.wait(attempt, code))
+        if code == EMPTY_REPLY:
+            return State(DONE, {"said": ""})
+        raise ServiceError(f"no translation after {attempt + 1} attempts: {message[:200]}", code)
 
     def translate(self, text: str, target_lang: str) -> str:
-        if not text.strip():
-            return text
-        status: int | None = None
-        last: Exception | None = None
-        for attempt in range(self.policy.max_retries + 1):
-            try:
-                if (out := self._once(text, target_lang)).strip():
-                    return out
-                status, last = EMPTY_REPLY, ServiceError("empty reply", EMPTY_REPLY)
-            except ServiceError as e:
-                status, last = e.code, e
-                if not self.policy.retries(e.code):
-                    raise
-            except (OSError, ValueError, KeyError, IndexError) as e:
-                status, last = None, e
-            if attempt < self.policy.max_retries:
-                self.sleep(self.policy.delay(attempt, status))
-        if status == EMPTY_REPLY:
-            return ""
-        raise ServiceError(f"no translation after {self.policy.max_retries + 1} attempts: {str(last)[:200]}", status)
+        return run(self, State("ask", {"text": text, "lang": target_lang, "attempt": 0}), self.transport, self.sleep)["said"] if text.strip() else text
 
 
 def own_code(body: object) -> int | None:
@@ -248,13 +344,13 @@ def thoughtless(text: str) -> str:
     return rest.strip()
 
 
-def translate_chunks(chunks: DataFrame, make_translator: Callable[[], Translator], target_lang: str, policy: RetryPolicy | None = None, serial: bool = True) -> DataFrame:
+def translate_chunks(chunks: DataFrame, make_translator: Callable[[], Translator], target_lang: str, patience: Patience | None = None, concurrency: int = 1) -> DataFrame:
     """chunks with translation and error; one translator for each task.
 
-    serial: one task, with the policy's interval between requests, as a service with one account's rate limit asks for.
-    Otherwise each task keeps the interval for itself. Filter before: nothing is pushed below Python.
+    As many tasks as the concurrency, each with patience's gap between requests, as a service with one account's rate limit asks for.
+    Filter before: nothing is pushed below Python.
     """
-    wait = policy.sleep_interval if policy else lambda: None
+    wait = (lambda: time.sleep(patience.between())) if patience and patience.gap > 0 else lambda: None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         translator, first = make_translator(), True
@@ -273,15 +369,15 @@ def translate_chunks(chunks: DataFrame, make_translator: Callable[[], Translator
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string()), pa.array(errors, pa.string())], names=[*batch.schema.names, "translation", "error"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
-    return (chunks.coalesce(1) if serial else chunks).mapInArrow(run, f"{fields}, translation string, error string")
+    return (chunks.coalesce(1) if concurrency == 1 else chunks.repartition(concurrency)).mapInArrow(run, f"{fields}, translation string, error string")
 
 
 # --- image host -------------------------------------------------------------------------------------------------
 
 
 @dataclass
-class ImageHost:
-    """Uploads of batches; a batch's key is the request's, with the batch's number."""
+class ImageHost(Service):
+    """Uploads of batches; a batch's key is the request's, with the batch's number. known: asked, attempt; at the end files."""
 
     transport: Transport
     base_url: str
@@ -289,30 +385,26 @@ class ImageHost:
     max_retries: int = 3
     sleep: Callable[[float], None] = time.sleep
 
-    def _once(self, payload: dict) -> dict:
-        headers = {"Authorization": f"Bearer {self.token}", "Accept": "application/json", "Content-Type": "application/json"}
-        reply = self.transport.call("POST", f"{self.base_url.rstrip('/')}/upload/batch", headers, json.dumps(payload).encode())
-        body = reply.json()
-        said = body if isinstance(body, dict) else {}
-        if reply.status == 200 and said.get("success"):
-            return said
-        retry = reply.status != 200 and (reply.status == 429 or reply.status >= 500 or said.get("code") in ("RATE_LIMIT", "INTERNAL_ERROR", "PARTIAL_UPLOAD_NOT_COMMITTED"))
-        after = said.get("retryAfterSeconds")
-        error = ServiceError(f"HTTP {reply.status}: {said.get('error')}", said.get("code"), float(after) if isinstance(after, (int, float)) and after > 0 else None)
-        error.retry = retry
-        raise error
+    def call(self, state: State) -> Call:
+        return Call("POST", f"{self.base_url.rstrip('/')}/upload/batch", _json_headers(self.token), json.dumps(state.known["asked"]).encode())
+
+    def step(self, state: State, reply: Reply | Exception) -> State:
+        attempt = state.known["attempt"]
+        status, body = (None, None) if isinstance(reply, Exception) else (reply.status, reply.json())
+        if status == 200 and _part(body, "success"):
+            return State(DONE, {"files": _part(body, "files") or []})
+        code, after = _part(body, "code"), _part(body, "retryAfterSeconds")
+        again = isinstance(reply, OSError) if status is None else status != 200 and (status == 429 or status >= 500 or code in UPLOAD_RETRY_CODES)
+        if not again or attempt == self.max_retries:
+            raise ServiceError(f"upload: {reply if status is None else f'HTTP {status}: ' + str(_part(body, 'error'))}", code)
+        asked_for = float(after) if isinstance(after, (int, float)) and after > 0 else 2.0 * 2**attempt
+        return State("send", {**state.known, "attempt": attempt + 1}, min(asked_for, 60.0))
 
     def upload(self, folder: str, files: list[dict], request_id: str, message: str = "") -> list[str]:
         """URLs in the files' order."""
-        payload = {"folderName": folder, "files": files, "requestId": request_id, **({"commitMessage": message} if message else {})}
-        for attempt in range(self.max_retries + 1):
-            try:
-                return [self.absolute(str(x.get("src", ""))) for x in self._once(payload).get("files") or []]
-            except (ServiceError, OSError) as e:
-                if attempt == self.max_retries or not getattr(e, "retry", isinstance(e, OSError)):
-                    raise
-                self.sleep(min(getattr(e, "retry_after", None) or 2.0 * 2**attempt, 60.0))
-        return []
+        asked = {"folderName": folder, "files": files, "requestId": request_id, **({"commitMessage": message} if message else {})}
+        done = run(self, State("send", {"asked": asked, "attempt": 0}), self.transport, self.sleep)
+        return [self.absolute(str(x.get("src", ""))) for x in done["files"]]
 
     def absolute(self, source: str) -> str:
         return source if not source or source.startswith(("http://", "https://")) else f"{self.base_url.rstrip('/')}{source}"

@@ -18,11 +18,14 @@ from docloom.operators import state
 RESULTS = "source_hash string, model string, target_lang string, translation string, status string, stored_at timestamp"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Stored results; none where nothing has been stored yet."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], RESULTS)
     return spark.read.schema(RESULTS).parquet(path)
 
@@ -46,5 +49,3 @@ def job_events(events: DataFrame, window: str = "1 minute", late: str = "10 minu
     """Events (at, job_id, type) of a stream counted by window and type; later than the watermark ones are left out."""
     return events.withWatermark("at", late).groupBy(F.window("at", window), "type").agg(F.count(F.lit(1)).alias("n"))
 
-
-EVENT_TYPES = ("JOB_STARTED", "PARSE_SUBMITTED", "PARSE_COMPLETED", "NORMALIZATION_STARTED", "NORMALIZATION_COMPLETED", "CHUNKING_COMPLETED", "TRANSLATION_STARTED", "CHUNK_COMPLETED", "RETRYING", "IMAGE_UPLOAD_STARTED", "IMAGE_UPLOAD_COMPLETED", "JOB_COMPLETED", "JOB_FAILED")

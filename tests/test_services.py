@@ -1,13 +1,18 @@
 import io
 import json
+import threading
+import time
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
+from docloom import cli
 from docloom.cli import main
-from docloom.functions.retry import RetryPolicy
+from docloom.functions.retry import Patience
 from docloom.operators import images, state
+from docloom.plans import jobs
 from docloom.sources import archives, config, files
-from docloom.sources.services import ChatTranslator, DocumentParser, ImageHost, MockTranslator, Replay, Reply, ServiceError, poll_state, translate_chunks, upload_images
+from docloom.sources.services import ChatTranslator, DocumentParser, Http, ImageHost, MockTranslator, Replay, Reply, ServiceError, poll_state, translate_chunks, upload_images
 from docloom.streaming.resume import job_events, read_results, stream_translations
 from pyspark.sql import functions as F
 
@@ -50,16 +55,54 @@ def test_parser_client():
     waits = []
     assert DocumentParser(Replay(dict(replies)), "B", sleep=waits.append).parse("a.pdf", b"x") == b"Z" and waits == [3.0]
     late = iter(range(0, 99999, 5000))
-    slow = Replay({("GET", status): [reply({"data": {"extract_result": [{"state": "running"}]}})]})
+    slow = {**replies, ("GET", status): [reply({"data": {"extract_result": [{"state": "running"}]}})]}
     with pytest.raises(ServiceError, match="timed out"):
-        DocumentParser(slow, "B", sleep=lambda s: None, clock=lambda: next(late)).poll("7")
+        DocumentParser(Replay(slow), "B", sleep=lambda s: None, clock=lambda: next(late)).parse("a.pdf", b"x")
+    for bad in ({("POST", "B/file-urls/batch"): [reply({"code": 5})]}, {}, {**replies, ("PUT", "up"): [Reply(500)]}, {**replies, ("GET", "zip"): [Reply(404)]}):
+        with pytest.raises(ServiceError):
+            DocumentParser(Replay(dict(bad)), "B", sleep=waits.append).parse("a", b"")
+
+
+class Server(BaseHTTPRequestHandler):
+    def do_GET(self):
+        if self.path == "/moved":
+            self.send_response(302)
+            self.send_header("Location", "/here?x=1")
+            self.end_headers()
+            return
+        if self.path == "/slow":
+            time.sleep(1.5)
+        self.answer(200, self.path.encode())
+
+    def do_POST(self):
+        self.answer(201, self.headers["X-Own"].encode() + self.rfile.read(int(self.headers["Content-Length"])))
+
+    def answer(self, status, body):
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_http():
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, link = f"http://127.0.0.1:{server.server_port}", Http(read=0.5)
+    assert link.call("GET", f"{base}/moved") == Reply(200, b"/here?x=1")
+    assert link.call("POST", base, {"X-Own": "h"}, "é".encode()) == Reply(201, "hé".encode())
+    with pytest.raises(OSError):
+        link.call("GET", f"{base}/slow")
+    server.shutdown()
     with pytest.raises(ServiceError):
-        DocumentParser(Replay({("POST", "B/file-urls/batch"): [reply({"code": 5})]}), "B").submit("a")
+        link.call("GET", "ftp://x/y")
 
 
 def chat(*replies, retries=2):
     waits = []
-    return ChatTranslator(Replay({("POST", "B/chat/completions"): list(replies)}), "B", "k", "m", policy=RetryPolicy(max_retries=retries, jitter_ratio=0), sleep=waits.append), waits
+    return ChatTranslator(Replay({("POST", "B/chat/completions"): list(replies)}), "B", "k", "m", patience=Patience(more=retries, stretch=0), sleep=waits.append), waits
 
 
 def said(text):
@@ -158,19 +201,86 @@ def test_config(tmp_path, monkeypatch):
     assert config.load(tmp_path).chunking.hard_limit == 6500
 
 
-def test_files_and_cli(spark, tmp_path):
+def test_files_and_cli(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("DOCLOOM_CONFIG_DIR", str(tmp_path / "settings"))
+    (tmp_path / "settings").mkdir()
+    (tmp_path / "settings/user.toml").write_text("[translation]\nrequest_interval = 0")
     (tmp_path / "a.b.md").write_text("# T\n\nbody")
     docs = files.read_markdown(spark, str(tmp_path / "a.b.md"))
     assert [(r.stem, r.text) for r in docs.collect()] == [("a.b", "# T\n\nbody")]
     first = spark.createDataFrame([(docs.first().source_path, "[1]")], "source_path string, layout_json string")
     assert files.with_layout(docs, first.limit(0), first).first().layout_json == "[1]" and files.with_layout(docs, first.limit(0)).first().layout_json == ""
-    out, work = str(tmp_path / "out"), str(tmp_path / "work")
-    options = ["--out-dir", out, "--work-dir", work]
-    assert main([*options, "translate", str(tmp_path / "a.b.md")], spark) == 0
-    assert [r.text for r in spark.read.parquet(f"{out}/documents").collect()] == ["# 译[# T]\n\n译[body]\n"]
+    work, path = str(tmp_path / "work"), str(tmp_path / "a.b.md")
+    options = ["--translator", "mock", "--work-dir", work]
+    assert main([*options, "resume", path], spark) == 1  # nothing to resume
+    assert main([*options, "translate", path], spark) == 0
+    assert (tmp_path / "a.b.zh.md").read_text() == "# 译[# T]\n\n译[body]\n"
     before = spark.read.parquet(f"{work}/results").count()
-    assert main([*options, "resume", str(tmp_path / "a.b.md")], spark) == 0
-    assert spark.read.parquet(f"{work}/results").count() == before
-    assert main([*options, "parse", str(tmp_path / "a.b.md")], spark) == 0 and spark.read.parquet(f"{out}/blocks").count() == 2
-    assert main([*options, "run", str(tmp_path / "no.md")], spark) == 2 and main([*options, "--translator", "x", "run", str(tmp_path / "a.b.md")], spark) == 3
+    assert main([*options, "resume", path], spark) == 0 and spark.read.parquet(f"{work}/results").count() == before
+    (tmp_path / "a.b.md").write_text("# T\n\nother")
+    assert main([*options, "resume", path], spark) == 1  # the source has changed
+    assert main([*options, "normalize", path], spark) == 0 and spark.read.parquet(f"{work}/blocks").count() == 2
+    assert main([*options, "run", str(tmp_path / "no.pdf")], spark) == 2 and main(["--translator", "x", "translate", path], spark) == 3
+    monkeypatch.delenv("DOCLOOM_PARSER_TOKEN", raising=False)
+    assert main([*options, "run", path], spark) == 3
     assert main(["config", "check"]) == 0
+
+
+def test_run_from_source_files_to_translations(spark, tmp_path, monkeypatch, capsys):
+    """Two files through a recorded parser, translator and image host."""
+    layout = [{"type": "title", "text": "1 Intro", "text_level": 1}, {"type": "title", "text": "1.1 Part", "text_level": 1}]
+    text = "# 1 Intro\n\nsome words\n\n# 1.1 Part\n\n![a](images/a.jpg)\n\n![r](https://x/y.jpg)\n\n<table><tr><td>p</td></tr></table>"
+    made = archive(full_DOT_md=text, x_content_list_DOT_json=json.dumps(layout), images__a_DOT_jpg=b"A", images__unused_DOT_jpg=b"U", images__x_DOT_DOT_y=b"n")
+    base = "B/extract-results/batch/7"
+    parsing = {("POST", "B/file-urls/batch"): [reply({"code": 0, "data": {"batch_id": "7", "file_urls": ["up"]}})], ("PUT", "up"): [Reply(200)], ("GET", base): [reply({"data": {"extract_result": [{"state": "done", "full_zip_url": "zip"}]}})], ("GET", "zip"): [Reply(200, made)]}
+    uploads = {("POST", "H/upload/batch"): [reply({"success": True, "files": [{"src": "/u/a.jpg"}]})]}
+    monkeypatch.setitem(cli.PARSERS, "replay", (lambda c: DocumentParser(Replay(dict(parsing)), "B", sleep=lambda s: None), ""))
+    monkeypatch.setitem(cli.HOSTS, "replay", (lambda c: ImageHost(Replay(dict(uploads)), "H", sleep=lambda s: None), ""))
+    monkeypatch.setenv("DOCLOOM_CONFIG_DIR", str(tmp_path / "config"))
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config/user.toml").write_text("[translation]\nrequest_interval = 0")
+    for name in ("Ann Lee and Bo - 2001 - First paper.pdf", "2002 - Second manual.pdf"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    options = ["--parser", "replay", "--translator", "mock", "--host", "replay", "--upload-images", "--work-dir", str(tmp_path / "work"), "--out-dir", str(tmp_path / "out")]
+    assert main([*options, "run", str(tmp_path / "*.pdf")], spark) == 0, capsys.readouterr()
+    written = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith("."))
+    assert written == sorted(f"{t}/{f}" for t in ("First paper", "Second manual") for f in (f"{t}.md", f"{t}.zh.md", "images/a.jpg"))
+    assert (tmp_path / "out/First paper/First paper.md").read_text() == text
+    translated = (tmp_path / "out/First paper/First paper.zh.md").read_text()
+    assert "# 译[# 1 Intro]" in translated and "\n## 译[## 1.1 Part]" in translated  # levels come from the layout
+    assert "![a](H/u/a.jpg)\n\n![r](https://x/y.jpg)" in translated
+    dumped = [p.read_text() for p in (tmp_path / "work/normalized").iterdir() if not p.name.startswith(".")]
+    assert len(dumped) == 2 and all("| p |" in x and "\n## 1.1 Part" in x for x in dumped)
+    assert spark.read.json(str(tmp_path / "work/chunks")).count() == 8
+    said = [line.split("]")[0][1:].upper().replace(" ", "_") for line in capsys.readouterr().out.splitlines() if line.startswith("[")]
+    assert said == [e for e in jobs.EVENT_TYPES if e != "JOB_FAILED"]
+    # Lost images come back from the work folder, the layout is found again, and nothing is translated twice.
+    (tmp_path / "out/First paper/images/a.jpg").unlink()
+    results = spark.read.parquet(str(tmp_path / "work/results")).count()
+    assert main([*options, "translate", str(tmp_path / "out/First paper/First paper.md")], spark) == 0
+    assert (tmp_path / "out/First paper/images/a.jpg").read_bytes() == b"A" and (tmp_path / "out/First paper/First paper.zh.md").read_text() == translated
+    assert spark.read.parquet(str(tmp_path / "work/results")).count() == results
+
+
+def test_a_failed_translation_keeps_what_is_done(spark, tmp_path, capsys, monkeypatch):
+    class Broken(MockTranslator):
+        def translate(self, text, target_lang):
+            if "bad" in text:
+                raise ServiceError("refused", 1301)
+            return super().translate(text, target_lang)
+
+    monkeypatch.setitem(cli.TRANSLATORS, "broken", (lambda c: Broken(), ""))
+    monkeypatch.setenv("DOCLOOM_CONFIG_DIR", str(tmp_path))
+    (tmp_path / "user.toml").write_text("[translation]\nrequest_interval = 0")
+    (tmp_path / "a.md").write_text("good\n\nbad")
+    options = ["--work-dir", str(tmp_path / "w")]
+    assert main([*options, "--translator", "broken", "translate", str(tmp_path / "a.md")], spark) == 1 and "[job failed]" in capsys.readouterr().out
+    assert [r.translation for r in spark.read.parquet(str(tmp_path / "w/results")).collect()] == ["译[good]"]
+    assert not (tmp_path / "a.zh.md").exists()
+
+
+def test_layout_beside_a_file(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# 1 Intro")
+    (tmp_path / "content_list.json").write_text(json.dumps([{"type": "title", "text": "1 Intro", "text_level": 3}]))
+    job = jobs.Job(spark, config.Config(), str(tmp_path / "w"), str(tmp_path / "o"))
+    assert [r.normalized_text for r in job.normalize(job.read(str(tmp_path / "a.md"))).collect()] == ["### 1 Intro"]

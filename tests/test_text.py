@@ -78,11 +78,11 @@ def test_retry(spark):
     df = spark.createDataFrame([(429, False), (500, False), (400, True), (1301, True), (1308, False), (1321, True), (1302, False), (1234, False), (200, False), (None, True), (None, False)], "s int, f boolean")
     want = [True, True, False, False, False, False, True, True, False, True, False]
     assert [r[0] for r in df.coalesce(1).select(retry.is_retryable(F.col("s"), F.col("f"))).collect()] == want
-    assert [retry.RetryPolicy.retries(s, f) for s, f in [(429, False), (400, True), (None, True), (200, False)]] == [True, False, True, False]
+    assert [retry.worth_retrying(s, f) for s, f in [(429, False), (400, True), (None, True), (200, False)]] == [True, False, True, False]
     df = spark.createDataFrame([(0, 500), (1, 500), (2, 500), (0, 1302), (0, 1305), (20, 1305)], "a int, s int").coalesce(1)
     assert [r[0] for r in df.select(retry.backoff(F.col("a"), F.col("s"))).collect()] == [2.0, 4.0, 8.0, 10.0, 30.0, 300.0]
     assert all(2.0 <= r[0] <= 2.6 for r in df.filter("s = 500 and a = 0").select(retry.backoff(F.col("a"), F.col("s"), jitter=True)).collect())
-    assert 30 <= retry.RetryPolicy().delay(0, 1305) <= 39
+    assert 30 <= retry.Patience().wait(0, 1305) <= 39
 
 
 def test_replies(spark):
