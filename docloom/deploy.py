@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom_package.zip"
+    folder = tempfile.mkdtemp(prefix="docloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves it until it ends
+    archive = Path(folder) / "docloom_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, str(Path(root.name) / path.relative_to(root)))

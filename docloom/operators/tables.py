@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 
 from docloom.functions.text import effective_text
 
-#: Spans beyond this are refused: a table that asks for more stays as it is.
-MOST_SPAN = 1000
+#: A table whose spans ask for more cells than a task can hold stays as it is.
+MOST_CELLS = 5_000_000
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -94,10 +94,11 @@ def table_rows(html: str | None) -> list[list[str]] | None:
                 down, across = _span(cell, "rowspan"), _span(cell, "colspan")
             except ValueError:
                 down = across = 1
-            if max(down, across) > MOST_SPAN:
+            down = min(down, len(rows) - r)
+            if len(cells) + down * across > MOST_CELLS or (c + across) * len(rows) > MOST_CELLS:
                 return None
             text = _text(cell)
-            cells.update({(r + i, c + j): text for i in range(min(down, len(rows) - r)) for j in range(across)})
+            cells.update({(r + i, c + j): text for i in range(down) for j in range(across)})
             c += across
             width = max(width, c)
     return [[cells.get((r, c), "") for c in range(width)] for r in range(len(rows))]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CASES = 26
+CASES = 30
 #: (remainder, SQL for the line); x is the line, i its number from 0, doc_id the document.
 DECORATED = (
     (0, "concat('## ', x)"), (1, "concat('- ', x)"), (2, "concat('  ', x)"), (3, "concat('> ', x)"), (4, "''"), (5, "'> q'"),
@@ -18,8 +18,9 @@ DECORATED = (
     (19, "concat('$$y_', cast(i as varchar(20)), '$$')"),
     (20, "concat('<table><tr><td colspan=\"2\">', cast(i as varchar(20)), '</td></tr>')"), (21, "'<tr><td>p</td><td>q|r</td></tr></table>'"),
     (22, "concat(x, '  see $[3, 4]$  and $^{[2]}$ ')"), (23, "concat('### 2.', cast(1 + i % 7 as varchar(20)), ' Part ', cast(i % 3 as varchar(20)))"),
+    (26, "'~~~text'"), (27, "x"), (28, "'~~~'"), (29, "concat('<table><tr><td colspan=\"2\">', cast(i as varchar(20)), '</td></tr></table>')"),
 )
-LINE_SQL = "CASE (doc_id * 5 + i) % 26 " + " ".join(f"WHEN {k} THEN {sql}" for k, sql in DECORATED) + " ELSE x END"
+LINE_SQL = f"CASE (doc_id * 5 + i) % {CASES} " + " ".join(f"WHEN {k} THEN {sql}" for k, sql in DECORATED) + " ELSE x END"
 
 #: DuckDB: lines(doc_id, i, line), the decorated lines from 0.
 LINES_SQL = f"""

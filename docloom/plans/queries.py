@@ -9,6 +9,11 @@ from docloom.functions import naming, replies, retry, text
 from docloom.operators import chunking, cleanup, images, layout, markdown, state, tables
 from docloom.plans import pipeline
 from docloom.plans.corpus import LAYOUT_TABLE_SQL, LINES_SQL, layout_corpus, markdown_corpus
+from docloom.sources import archives
+from docloom.sources.config import masked_column
+from docloom.sources.files import kept_assets
+from docloom.sources.offline import OfflineChat, OfflineHost, OfflineParser
+from docloom.sources.services import ChatTranslator, DocumentParser, ImageHost, parse_documents, translate_chunks, upload_images
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -92,11 +97,17 @@ def citation_cleanup(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "i", F.sha2(text.plain_citations(F.col("line")), 256).alias("text_sha256"))
 
 
-@query(f"WITH {LINES_SQL}, t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM lines WHERE NOT contains(line, '$$') AND NOT contains(line, '```') GROUP BY doc_id) SELECT doc_id, sha256({SPACED.format(c='t')}) AS text_sha256 FROM t")
+UNTOUCHED = "contains({c}, '$$') OR contains({c}, '```')"
+
+
+@query(f"WITH {LINES_SQL}, t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM lines GROUP BY doc_id) SELECT doc_id, sha256(CASE WHEN {UNTOUCHED.format(c='t')} THEN t ELSE {SPACED.format(c='t')} END) AS text_sha256 FROM t")
 def whitespace_cleanup(spark, sf_dir):
-    plain = F.expr("array_join(filter(split(text, '\n', -1), x -> not contains(x, '$$') and not contains(x, '```')), '\n')")
-    some = F.expr("exists(split(text, '\n', -1), x -> not contains(x, '$$') and not contains(x, '```'))")
-    return markdown_corpus(spark, sf_dir).filter(some).select("doc_id", F.sha2(text.clean_spaces(plain), 256).alias("text_sha256"))
+    return markdown_corpus(spark, sf_dir).select("doc_id", F.sha2(text.clean_spaces(F.col("text")), 256).alias("text_sha256"))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, i::INTEGER AS i, sha256(CASE WHEN {UNTOUCHED.format(c='line')} THEN line ELSE {SPACED.format(c='line')} END) AS text_sha256 FROM lines")
+def whitespace_cleanup_lines(spark, sf_dir):
+    return _lines(spark, sf_dir).select("doc_id", "i", F.sha2(text.clean_spaces(F.col("line")), 256).alias("text_sha256"))
 
 
 CLEANED_SQL = rf"""{BLOCKS_SQL},
@@ -252,6 +263,49 @@ def html_table_md(spark, sf_dir):
     return tables.convert_tables(_blocks(spark, sf_dir).filter("kind = 'html'")).filter("converted").select("doc_id", "block_no", F.col("normalized_text").alias("markdown"))
 
 
+#: (markup, rows) of tables with spans, nested tables and odd markup; X stands for the part's key.
+GENERAL_TABLES = (
+    ("<table><tr><th>h X</th><th>a|b</th></tr><tr><td>1</td><td>2<br>3</td></tr></table>", (("h X", r"a\|b"), ("1", "2 3"))),
+    ('<table><tr><td rowspan="2">a X</td><td>b</td></tr><tr><td>c</td></tr></table>', (("a X", "b"), ("a X", "c"))),
+    ('<p>t</p><TABLE><tr><td rowspan=2 colspan="2">a</td><td>X</td></tr><tr><td>c</td></tr><tr><td>d</td><td>e</td><td>f</td></tr></TABLE>', (("a", "a", "X"), ("a", "a", "c"), ("d", "e", "f"))),
+    ('<table><tr><td colspan="x">X</td><td rowspan="0">b</td></tr><tr><td>c</td></tr></table>', (("X", "b"), ("c", ""))),
+    ("<table><tr><td>x<table><tr><td>X</td></tr></table></td></tr></table>", (("x X", "X"), ("X", ""))),
+    ('<table><tr><td>a</td><td rowspan="9">X</td></tr><tr><td>b</td></tr><tr><td colspan="3">c</td></tr></table>', (("a", "X", ""), ("b", "X", ""), ("c", "c", "c"))),
+    ('<table><tr><td colspan="1500">X</td></tr></table>', (("X",) * 1500,)),
+    ('<table><tr><td colspan="2000000000">X</td></tr></table>', None),
+    ("<table></table> X", None), ("no table X", None),
+)
+
+
+def _sql_rows(rows) -> str:
+    quoted = lambda c: "'" + c.replace("'", "''") + "'"
+    return "NULL" if rows is None else "[" + ", ".join("[" + ", ".join(map(quoted, row)) + "]" for row in rows) + "]"
+
+
+GENERAL_SQL = (
+    f"g AS (SELECT p_partkey AS k, CASE p_partkey % {len(GENERAL_TABLES)} " + " ".join(f"WHEN {i} THEN {_sql_rows(rows)}" for i, (_, rows) in enumerate(GENERAL_TABLES))
+    + " END AS rows FROM part), gx AS (SELECT k, list_transform(rows, lambda r: list_transform(r, lambda c: replace(c, 'X', k::VARCHAR))) AS rows FROM g)"
+)
+
+
+def _general(spark, sf_dir):
+    of = lambda k: F.coalesce(*(F.when(k % len(GENERAL_TABLES) == i, html) for i, (html, _) in enumerate(GENERAL_TABLES)))
+    key = F.col("p_partkey")
+    return _read(spark, sf_dir, "part").select(key.alias("k"), F.replace(of(key), F.lit("X"), key.cast("string")).alias("html")).select("k", tables.html_table_rows(F.col("html")).alias("rows"))
+
+
+@query(f"WITH {GENERAL_SQL}, e AS (SELECT k, unnest(rows) AS cells, generate_subscripts(rows, 1) - 1 AS r FROM gx WHERE rows IS NOT NULL) SELECT k, r::INTEGER AS r, len(cells)::INTEGER AS width, sha256(array_to_string(cells, chr(9))) AS cells_sha256 FROM e UNION ALL SELECT k, NULL, NULL, NULL FROM gx WHERE rows IS NULL")
+def html_tables_general(spark, sf_dir):
+    found = _general(spark, sf_dir).select("k", F.posexplode_outer("rows").alias("r", "cells"))
+    return found.select("k", "r", F.when(F.col("cells").isNotNull(), F.size("cells")).alias("width"), F.sha2(F.array_join("cells", "\t"), 256).alias("cells_sha256"))
+
+
+@query(f"""WITH {GENERAL_SQL}, l AS (SELECT k, list_transform(rows, lambda r: '| ' || array_to_string(r, ' | ') || ' |') AS l, array_to_string(list_transform(rows[1], lambda c: '---'), ' | ') AS rule FROM gx WHERE rows IS NOT NULL)
+SELECT k, sha256(l[1] || chr(10) || '| ' || rule || ' |' || CASE WHEN len(l) > 1 THEN chr(10) || array_to_string(l[2:], chr(10)) ELSE '' END) AS markdown_sha256 FROM l""")
+def html_tables_general_md(spark, sf_dir):
+    return _general(spark, sf_dir).filter("rows is not null").select("k", F.sha2(tables.rows_to_markdown(F.col("rows")), 256).alias("markdown_sha256"))
+
+
 CHUNKS_SQL = rf"""{BLOCKS_SQL},
  tr AS (SELECT doc_id, block_no, type, source_text, strlen(source_text) > 400 AS large FROM blocks WHERE type NOT IN ('code', 'math', 'image', 'thematic_break')),
  pt AS (SELECT doc_id, block_no, 1 AS part_no, source_text, type, large FROM tr WHERE NOT (large AND type = 'paragraph')
@@ -266,6 +320,11 @@ def chunks(spark, sf_dir):
     return chunking.chunk_blocks(_blocks(spark, sf_dir), LIMIT).select("doc_id", "chunk_no", "chunk_id", "block_no", "part_no", "source_hash")
 
 
+@query(f"WITH RECURSIVE {CHUNKS_SQL.replace('400', str(chunking.HARD_LIMIT))} SELECT doc_id, chunk_no::INTEGER AS chunk_no, block_no, part_no::INTEGER AS part_no, sha256(source_text) AS source_hash, strlen(source_text) > {chunking.HARD_LIMIT} AS warned FROM chunks")
+def chunks_default_limit(spark, sf_dir):
+    return chunking.chunk_blocks(_blocks(spark, sf_dir)).select("doc_id", "chunk_no", "block_no", "part_no", "source_hash", F.col("warning").isNotNull().alias("warned"))
+
+
 @query(f"WITH RECURSIVE {CHUNKS_SQL} SELECT doc_id, block_no, count(*) AS n_parts, max(strlen(source_text))::INTEGER AS longest FROM chunks WHERE type = 'paragraph' GROUP BY doc_id, block_no HAVING count(*) > 1")
 def chunk_oversize_split(spark, sf_dir):
     made = chunking.chunk_blocks(_blocks(spark, sf_dir).filter("type = 'paragraph'"), LIMIT)
@@ -283,11 +342,11 @@ APPLIED_SQL = rf"""{CHUNKS_SQL},
  applied AS (SELECT b.doc_id, b.block_no, b.type, CASE WHEN s IS NULL THEN b.source_text WHEN b.type = 'heading' THEN repeat('#', level) || ' ' || s WHEN b.type = 'paragraph' THEN trim(regexp_replace(s, '\n[ \t]*\n+', chr(10), 'g'), chr(10)) ELSE s END AS t FROM blocks b LEFT JOIN said USING (doc_id, block_no))"""
 
 
-@query(f"WITH RECURSIVE {APPLIED_SQL} SELECT doc_id, block_no, t AS text FROM applied WHERE type IN ('heading', 'paragraph', 'list', 'code')")
+@query(f"WITH RECURSIVE {APPLIED_SQL} SELECT doc_id, block_no, type, t AS text FROM applied")
 def apply_translations(spark, sf_dir):
     blocks = cleanup.fill_text(_blocks(spark, sf_dir))
     done = chunking.apply_translations(blocks, pipeline.mock_translator(chunking.chunk_blocks(blocks, LIMIT)))
-    return done.filter("type in ('heading', 'paragraph', 'list', 'code')").select("doc_id", "block_no", F.col("normalized_text").alias("text"))
+    return done.select("doc_id", "block_no", "type", F.col("normalized_text").alias("text"))
 
 
 @query(f"WITH RECURSIVE {APPLIED_SQL} SELECT doc_id, sha256(string_agg(rtrim(t, chr(10)), chr(10) || chr(10) ORDER BY block_no) || chr(10)) AS text_sha256 FROM applied WHERE t <> '' GROUP BY doc_id")
@@ -511,20 +570,21 @@ def image_cache_restore(spark, sf_dir):
     return images.missing_files(cached, cached.filter("doc_id % 3 = 0"))
 
 
-@query("""WITH f AS (SELECT p_partkey % 10 AS doc_id, p_name AS name, row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS r FROM part)
-SELECT doc_id, name, 'u' || doc_id || '/' || (r - 1) AS src FROM f WHERE r <= 20""")
+@query("""WITH f AS (SELECT p_partkey // 7 AS doc_id, p_name AS name, row_number() OVER (PARTITION BY p_partkey // 7 ORDER BY p_partkey) AS r FROM part)
+SELECT doc_id, name, 'u' || doc_id || '/' || (r - 1) AS src FROM f WHERE r <= doc_id % 10""")
 def positional_replies(spark, sf_dir):
-    files = _read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).alias("doc_id"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"))
-    answers = files.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("at")).withColumn("src", F.concat(F.lit("u"), "doc_id", F.lit("/"), "at"))
+    """Groups of seven files and 0 to 9 replies: too few, as many, and too many."""
+    files = _read(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 7).alias("doc_id"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"))
+    answers = files.select("doc_id").distinct().filter("doc_id % 10 > 0").select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 10 - 1).cast("int"))).alias("at")).withColumn("src", F.concat(F.lit("u"), "doc_id", F.lit("/"), "at"))
     return images.matched_replies(files, answers, ("doc_id",)).select("doc_id", "name", "src")
 
 
-@query("""SELECT 'in/' || (c_custkey % 50) || '.md' AS source_path, max('w' || repeat('/x', (c_custkey % 5)::INTEGER)) AS work_dir FROM customer WHERE c_custkey % 50 < 25 GROUP BY 1""")
+@query("""SELECT 'in/' || (c_custkey // 3) || '.md' AS source_path, max('w' || repeat('/x', (c_custkey % 5)::INTEGER)) AS work_dir FROM customer WHERE c_custkey // 3 IN (SELECT s_suppkey FROM supplier) GROUP BY 1""")
 def work_dir_lookup(spark, sf_dir):
-    path = F.concat(F.lit("in/"), (F.col("c_custkey") % 50).cast("string"), F.lit(".md"))
-    states = _read(spark, sf_dir, "customer").select(path.alias("source_path"), F.concat(F.lit("w"), F.repeat(F.lit("/x"), (F.col("c_custkey") % 5).cast("int"))).alias("work_dir"))
-    wanted = spark.range(25).select(F.concat(F.lit("in/"), F.col("id").cast("string"), F.lit(".md")).alias("source_path"))
-    return state.locate(states, wanted)
+    """Three states for each path; the paths that are asked for are named after suppliers."""
+    path = lambda key: F.concat(F.lit("in/"), key.cast("string"), F.lit(".md")).alias("source_path")
+    states = _read(spark, sf_dir, "customer").select(path(F.floor(F.col("c_custkey") / 3)), F.concat(F.lit("w"), F.repeat(F.lit("/x"), (F.col("c_custkey") % 5).cast("int"))).alias("work_dir"))
+    return state.locate(states, _read(spark, sf_dir, "supplier").select(path(F.col("s_suppkey"))))
 
 
 @query("SELECT c_name AS source_path, sha256(c_mktsegment) AS source_hash FROM customer WHERE c_custkey % 4 <> 0")
@@ -566,3 +626,69 @@ def state_json_round_trip(spark, sf_dir):
     states = rows.select(F.concat(F.lit("p/"), "c_name").alias("source_path"), F.lit("h").alias("source_hash"), F.lit("m").alias("model"), F.lit("completed").alias("status"), F.array("c_name", F.lit("z")).alias("chunk_ids"), F.array("c_name").alias("done_chunk_ids"))
     back = state.states_from_json(state.state_json(states))
     return back.join(rows.select(F.col("c_custkey").alias("k"), F.concat(F.lit("p/"), "c_name").alias("source_path")), "source_path").select("k", F.col("source_path").alias("path"), "status", "chunk_ids")
+
+
+# --- services, through transports that answer offline ------------------------------------------------------------
+
+
+def _quiet(_: float) -> None:
+    pass
+
+
+def _parser():
+    return DocumentParser(OfflineParser(), "offline", sleep=_quiet)
+
+
+def _chat():
+    return ChatTranslator(OfflineChat(), "offline", "k", "m", sleep=_quiet)
+
+
+def _host():
+    return ImageHost(OfflineHost(), "https://host.example/", sleep=_quiet)
+
+
+def _sources(spark, sf_dir):
+    """A source file for each customer; every ninth can't be parsed."""
+    body = F.concat(F.when(F.col("c_custkey") % 9 == 0, "!").otherwise(""), F.lit("# 1. "), "c_mktsegment", F.lit("\n\n![a](images/a.jpg) of "), "c_name")
+    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("in/"), "c_name", F.lit(".pdf")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+
+
+@query("""SELECT 'in/' || c_name || '.pdf' AS path, CASE WHEN c_custkey % 9 <> 0 THEN '# 1. ' || c_mktsegment || chr(10) || chr(10) || '![a](images/a.jpg) of ' || c_name END AS markdown,
+ CASE WHEN c_custkey % 9 <> 0 THEN '[{"type": "title", "text": "1. ' || c_mktsegment || '", "text_level": 1}]' END AS layout_json, CASE WHEN c_custkey % 9 = 0 THEN 'unreadable' END AS error FROM customer""")
+def parsed_documents(spark, sf_dir):
+    """Submitted, uploaded, polled, downloaded, unpacked."""
+    got = parse_documents(_sources(spark, sf_dir), _parser)
+    docs, _ = archives.extract(archives.archive_members(got.filter("error is null")))
+    return docs.select("path", "markdown", "layout_json", "error").unionByName(got.filter("error is not null").selectExpr("path", "cast(null as string) markdown", "cast(null as string) layout_json", "error"))
+
+
+@query("""SELECT 'in/' || c_name || '.pdf' AS path, 'images/a.jpg' AS name, '# 1.' AS head FROM customer WHERE c_custkey % 9 <> 0""")
+def parsed_assets(spark, sf_dir):
+    """Assets of the archives that the documents refer to."""
+    got = parse_documents(_sources(spark, sf_dir), _parser)
+    docs, assets = archives.extract(archives.archive_members(got.filter("error is null")))
+    return kept_assets(assets, docs).select("path", "name", F.decode("content", "UTF-8").alias("head"))
+
+
+@query("""SELECT c_custkey AS k, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN '  ' ELSE upper(c_name) END AS translation, CASE WHEN c_custkey % 5 = 1 THEN true ELSE false END AS refused FROM customer""")
+def chat_translations(spark, sf_dir):
+    """Replies with thoughts, turned away first or not; empty ones, refused ones, and blank texts that are not sent."""
+    kind = F.col("c_custkey") % 5
+    texts = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.when(kind == 0, "mute").when(kind == 1, "stop").when(kind == 2, "  ").otherwise(F.col("c_name")).alias("source_text"))
+    return translate_chunks(texts, _chat, "zh", concurrency=4).select("k", "translation", F.col("error").isNotNull().alias("refused"))
+
+
+@query(f"""WITH {BATCH_SQL} SELECT k AS doc_id, f AS name, 'https://host.example/' || folder || '/' || f AS url FROM ba, unnest(['a.png', 'b.jpg', 'c.gif']) AS u(f)""")
+def uploaded_images(spark, sf_dir):
+    """Records, batches of two files, requests that are turned away once, URLs."""
+    sub = F.when(F.col("k") % 3 == 0, F.concat(F.lit("group "), (F.col("k") % 5).cast("string"))).otherwise("")
+    docs = _stems(spark, sf_dir).select(F.col("k").alias("doc_id"), naming.batch_folder(F.col("stem"), F.col("stem"), F.lit(""), sub).alias("folder"))
+    names = F.explode(F.array(F.lit("a.png"), F.lit("b.jpg"), F.lit("c.gif"))).alias("name")
+    files = docs.select("doc_id", names).withColumn("content", F.encode(F.col("name"), "UTF-8")).withColumn("size", F.lit(1))
+    records = images.upload_records(files, ("doc_id",)).join(images.upload_batches(files, most_files=2).drop("size"), ["doc_id", "name"]).join(docs, "doc_id")
+    return upload_images(records.withColumn("request_id", naming.request_id(F.col("folder"))), _host).select("doc_id", "name", "url")
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '(not set)' WHEN len(s) <= 8 THEN '****' ELSE left(s, 4) || '****' || right(s, 4) END AS masked FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS s FROM customer)")
+def masked_secrets(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), masked_column(F.when(F.col("c_custkey") % 7 == 0, "").when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.col("c_mktsegment"))).alias("masked"))

@@ -7,6 +7,9 @@ import tomllib
 from pathlib import Path
 from types import SimpleNamespace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # The settings that something reads, by section, and what holds where nothing is said. Times are seconds, sizes bytes.
 DEFAULTS: dict[str, dict[str, object]] = {
     "chunking": {"hard_limit": 6500},
@@ -85,3 +88,9 @@ def load(cwd: Path | None = None) -> Config:
 def masked(secret: str) -> str:
     """Enough of a secret to tell it from another one."""
     return "(not set)" if not secret else "****" if len(secret) <= 8 else f"{secret[:4]}****{secret[-4:]}"
+
+
+def masked_column(secret: Column) -> Column:
+    """The same of a column."""
+    ends = F.concat(F.left(secret, F.lit(4)), F.lit("****"), F.right(secret, F.lit(4)))
+    return F.when(F.coalesce(secret, F.lit("")) == "", "(not set)").when(F.length(secret) <= 8, "****").otherwise(ends)
