@@ -22,7 +22,7 @@ RUN = 128
 KEPT_AS_IS = ("code", "math", "image", "thematic_break")
 
 # How lines are told apart, in the order in which they are tried.
-BLANK = rf"(?U)\A{WS}*\z"
+FIRST = rf"(?U)\A{WS}*([^\s\x1c-\x1f])"
 FENCE = rf"(?U)\A{WS}*(```+|~~~+){WS}*([^\s\x1c-\x1f]*){WS}*\z"
 MATH_MARK = rf"(?U)\A{WS}*\$\${WS}*\z"
 MATH_LINE = rf"(?Us)\A{WS}*\$\$.*\$\${WS}*\z"
@@ -32,8 +32,6 @@ HEADING = rf"(?Us)\A(#{{1,6}}){WS}+(.*)\z"
 RULE = rf"(?U)\A{WS}*(?:\*{{3,}}|-{{3,}}|_{{3,}}){WS}*\z"
 IMAGE_LINE = rf"(?U)\A{WS}*!\[[^\]]*\]\([^)]*\){WS}*\z"
 LIST_ITEM = rf"(?U)\A{WS}*(?:[-*+]|\d+[.)]){WS}+"
-QUOTE = rf"(?U)\A{WS}*>"
-PIPE = rf"(?U)\A{WS}*\|"
 SEPARATOR = r"(?U)\A\|?[\s\x1c-\x1f:|-]+\|?[\s\x1c-\x1f]*\z"
 
 #: What a paragraph ends at.
@@ -42,24 +40,32 @@ TYPE_OF = {"fence": "code", "math": "math", "mathline": "math", "html": "table",
 
 
 def _classes(lines: Column) -> Column:
-    """struct<k, q, f, e, t, s> of each line: class, next line is a quote, fence, ends a table, starts with a pipe or blank space, stripped."""
-
-    def one(line: Column, i: Column) -> Column:
-        following = F.get(lines, i + 1)
-        separator = strip(following)
-        kind = (
-            F.when(line.rlike(BLANK), "blank").when(line.rlike(FENCE), "fence").when(line.rlike(MATH_MARK), "math").when(line.rlike(MATH_LINE), "mathline")
-            .when(line.rlike(TABLE_START), "html").when(line.rlike(HEADING), "heading").when(line.rlike(RULE), "rule").when(line.rlike(IMAGE_LINE), "image")
-            .when(line.rlike(LIST_ITEM), "list").when(line.rlike(QUOTE), "quote")
-            .when(line.rlike(PIPE) & F.coalesce(separator.rlike(SEPARATOR) & F.contains(separator, F.lit("|")), F.lit(False)), "pipe").otherwise("text")
-        )
-        return F.struct(
-            kind.alias("k"), F.coalesce(following.rlike(QUOTE), F.lit(False)).alias("q"),
-            F.when(F.contains(line, F.lit("```")) | F.contains(line, F.lit("~~~")), strip(line)).otherwise("").alias("f"),
-            line.rlike(TABLE_END).alias("e"), line.rlike(PIPE).alias("t"), line.rlike(r"\A[ \t]").alias("s"),
-        )
-
-    return F.transform(lines, one)
+    """struct<k, q, f, e, t, s> of each line: class, next line is a quote, fence, ends a table, starts with a pipe or blank space, stripped.
+
+    The first character that isn't white space says which patterns are worth trying.
+    """
+    headed = F.transform(lines, lambda line: F.struct(line.alias("l"), F.regexp_extract(line, FIRST, 1).alias("c")))
+
+    def of(heads: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            line, first, following = x["l"], x["c"], F.get(heads, i + 1)
+            separator = strip(following["l"])
+            like = lambda pattern, *chars: first.isin(*chars) & line.rlike(pattern)
+            kind = (
+                F.when(first == "", "blank").when(like(FENCE, "`", "~"), "fence").when(like(MATH_MARK, "$"), "math").when(like(MATH_LINE, "$"), "mathline")
+                .when(like(TABLE_START, "<"), "html").when(like(HEADING, "#"), "heading").when(like(RULE, "*", "-", "_"), "rule").when(like(IMAGE_LINE, "!"), "image")
+                .when((first.isin("-", "*", "+") | first.rlike(r"(?U)\d")) & line.rlike(LIST_ITEM), "list").when(first == ">", "quote")
+                .when((first == "|") & F.coalesce(separator.rlike(SEPARATOR) & F.contains(separator, F.lit("|")), F.lit(False)), "pipe").otherwise("text")
+            )
+            return F.struct(
+                kind.alias("k"), F.coalesce(following["c"] == ">", F.lit(False)).alias("q"),
+                F.when(F.contains(line, F.lit("```")) | F.contains(line, F.lit("~~~")), strip(line)).otherwise("").alias("f"),
+                (F.contains(line, F.lit("</")) & line.rlike(TABLE_END)).alias("e"), (first == "|").alias("t"), line.rlike(r"\A[ \t]").alias("s"),
+            )
+
+        return F.transform(heads, one)
+
+    return bound(headed, of)
 
 
 def _marks(lines: Column, compat: bool) -> Column:
