@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.spread import spread
+
 CASES = 30
 #: (remainder, SQL for the line); x is the line, i its number from 0, doc_id the document.
 DECORATED = (
@@ -28,9 +30,13 @@ LINES_SQL = f"""
  lines AS (SELECT doc_id, i, {LINE_SQL.replace("varchar(20)", "VARCHAR")} AS line FROM raw)"""
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").filter("text is not null")
+
+
 def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    docs = _texts(spark, sf_dir)
     split = docs.select("doc_id", F.split("text", "\n", -1).alias("parts"))
     line = LINE_SQL.replace("varchar(20)", "string")
     return split.select("doc_id", F.expr(f"array_join(transform(parts, (x, i) -> {line}), '\n')").alias("text"))
@@ -38,7 +44,7 @@ def markdown_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, layout_json: layout records of headings with levels and section numbers, which vary with doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("text is not null")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.expr(_spark_layout()).alias("layout_json"))
 
 

@@ -14,6 +14,7 @@ from docloom.sources.config import masked_column
 from docloom.sources.files import kept_assets
 from docloom.sources.offline import OfflineChat, OfflineHost, OfflineParser
 from docloom.sources.services import ChatTranslator, DocumentParser, ImageHost, parse_documents, translate_chunks, upload_images
+from docloom.sources.spread import spread
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -438,7 +439,7 @@ CLEAN_REF_SQL = r"""CASE WHEN regexp_matches(trim(r, '<> '), '^(https?://|data:|
 
 
 def _texts(spark, sf_dir):
-    _read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    spread(_read(spark, sf_dir, "part"), "p_partkey").createOrReplaceTempView("part")
     return spark.sql("SELECT doc_id, text FROM (" + REFS_SQL.split("AS (", 1)[1][:-1].replace("\\", "\\\\") + ")")
 
 
