@@ -129,7 +129,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, spans: bool
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = find(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

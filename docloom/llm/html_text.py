@@ -352,7 +352,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    return extract(table(spark, sf_dir, "pages", "page_id"))
 
 
 QUERIES = {"op2_text_density": op2_text_density}

@@ -406,7 +406,7 @@ def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame
 
 
 def op6_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents", "doc_id"))
 
 
 QUERIES = {"op6_vertical_jaccard": op6_vertical_jaccard}

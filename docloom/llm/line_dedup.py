@@ -70,7 +70,7 @@ def drop_repeated_lines(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return marked(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
 
 

@@ -322,7 +322,7 @@ def default_tokenizer() -> str:
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(table(spark, sf_dir, "documents", "doc_id"), default_tokenizer())
 
 
 QUERIES = {"op10_best_fit": op10_best_fit}

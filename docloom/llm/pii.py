@@ -380,7 +380,7 @@ def session_key(spark: SparkSession) -> bytes:
 
 
 def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark))
+    return pseudonymise(table(spark, sf_dir, "documents", "doc_id"), session_key(spark))
 
 
 QUERIES = {"op7_feistel": op7_feistel}

@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op4_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return assess(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {"op4_isolation_forest": op4_isolation_forest}

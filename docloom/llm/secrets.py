@@ -301,7 +301,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(table(spark, sf_dir, "documents", "doc_id"))
 
 
 QUERIES = {"op1_secrets": op1_secrets}
