@@ -52,7 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Each stage's table goes when the next one has been written; the last stage checkpoints
     what it takes from its input."""
-    docs = stored(STAGES[0][1](spark, table(spark, sf_dir, "documents"), sf_dir))
+    docs = stored(STAGES[0][1](spark, table(spark, sf_dir, "documents", "doc_id"), sf_dir))
     for _, stage in STAGES[1:-1]:
         before, docs = docs, stored(stage(spark, docs, sf_dir))
         discard(before)
