@@ -52,6 +52,8 @@ PART_BYTES = 64 << 20
 MOST_HOT = 10_000
 #: A block of a group has about so many members and shingles at most, and one of members that are compared with the leader only.
 BLOCK_MEMBERS, BLOCK_TOKENS, NEAR_MEMBERS = 2048, 2_000_000, 256
+#: Documents whose shingles are held at once: in the first pass, where what they share is counted, and in the second.
+CLASS_DOCS, FRAGMENT_DOCS = 2000, 500
 #: Overlaps are counted over so many shingles at a time.
 MATRIX = 2048
 
@@ -108,8 +110,8 @@ def _classes(docs: DataFrame, n: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, CLASS_DOCS):
+                batch = whole.slice(at, CLASS_DOCS)
                 keys, sizes, firsts, seen, lists = [], [], [], {}, []
                 for raw in batch.column("raw").to_pylist():
                     own = shingles((raw or b"").lower(), n)
@@ -186,7 +188,7 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 2**64 // FRAGMENTS
         edges = np.array([i * step for i in range(1, FRAGMENTS)], np.uint64)
-        for batch in batches:
+        for batch in (whole.slice(at, FRAGMENT_DOCS) for whole in batches for at in range(0, whole.num_rows, FRAGMENT_DOCS)):
             rows = []
             for raw in batch.column("raw").to_pylist():
                 own = shingles((raw or b"").lower(), n)
