@@ -32,6 +32,8 @@ MAX_LABELLED = 20_000
 KEEP, KEEP_ALONE = 0.99, 0.999
 TREES, SAMPLE, DEPTH = 100, 256, 10
 WINDOW = 8
+#: Rows whose texts are held in Python at once.
+BATCH = 1000
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Odd, so that its powers never vanish.
@@ -194,12 +196,18 @@ def judge(raws: list[bytes | None], model: tuple[Forest, float] | None) -> tuple
     return s, failed, score, ~failed & (score <= (model[1] if model else 1.0))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, BATCH at a time."""
+    for whole in batches:
+        yield from (whole.slice(at, BATCH) for at in range(0, whole.num_rows, BATCH))
+
+
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, kept and the forest's score for each row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             s, failed, score, kept = judge(batch.column("raw").to_pylist(), model.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s[:, i]) for i in range(5)), pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
@@ -214,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             raws = [None if x is None else x.encode() for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(judge(raws, model.value)[3], pa.bool_()))
 
