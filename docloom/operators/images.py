@@ -54,12 +54,12 @@ def upload_records(files: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return files.select(*keys, "name", F.when(~large, data).alias("contentBase64"), mime.alias("mimeType"), F.sha2("content", 256).alias("sha256"), F.when(large, F.concat(F.lit("larger than "), F.lit(MOST_FILE_BYTES), F.lit(" bytes: "), F.col("name"))).alias("error"))
 
 
-def upload_batches(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """keys, name, size, batch (from 0): in order of names, a batch is full when one more file would pass either limit.
+def upload_batches(files: DataFrame, keys: tuple[str, ...] = ("doc_id",), most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, by: str = "name") -> DataFrame:
+    """keys, name, size, batch (from 0): in order of names, or of another column, a batch is full when one more file would pass either limit.
 
     A fold over each document's files.
     """
-    ordered = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("name", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")))).alias("files"))
+    ordered = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("by"), "name", F.coalesce("size", F.lit(0)).cast("bigint").alias("size")))).alias("files"))
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), zero.alias("bytes"))
 

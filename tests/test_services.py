@@ -5,7 +5,9 @@ import time
 import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import duckdb
 import pytest
+from __spark_entry__ import oracle_sql, queries
 from docloom import cli
 from docloom.cli import main
 from docloom.functions.retry import Patience
@@ -143,6 +145,16 @@ def test_upload_limits(spark):
     assert [got[1, f"{i:02d}"] for i in range(6)] == [0, 0, 1, 2, 3, 3] and got[2, "x"] == 0
 
 
+def test_uploads_in_order_of_a_key(spark, tmp_path):
+    """Keys past a million, whose names of seven digits sort before those of six."""
+    keys = [*range(100_010, 100_200, 10), *range(1_000_000, 1_000_200, 10)]
+    spark.createDataFrame([(k, 1 + k // 10 % 49) for k in keys], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in queries()["upload_batches"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert got == sorted(con.execute(oracle_sql()["upload_batches"]).fetchall())
+
+
 def test_assets(spark):
     docs = spark.createDataFrame([(1, "![a](./images/a.jpg?x)\n<img src='b.png'>"), (2, "no refs")], "doc_id long, text string")
     assets = spark.createDataFrame([(d, n) for d in (1, 2) for n in ("images\\a.jpg", "other/b.png", "images/c.jpg", "IMAGES/d.jpg")], "doc_id long, name string")
