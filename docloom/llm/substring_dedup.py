@@ -44,12 +44,14 @@ from docloom.llm.common import partitions_for, table
 from docloom.llm.rolling import mix, prefixes, ranges
 
 LENGTH = 50
-GRAM = 16
-HOT = 4096
+GRAM = 24
+HOT = 1 << 14
 #: Windows that are put in suffix order at once, and bytes whose anchors are found at once.
 BLOCK, CHUNK = 200_000, 1 << 18
-#: Bytes of input for each partition, which is a group and a bucket.
-PART_BYTES = 32 << 20
+#: Contexts that are expanded into windows or bits at once, and texts that are copied at once.
+FEW, MANY = 2048, 1 << 14
+#: Bytes of input for each partition, which is a group and a bucket. A task's arrays take many times that.
+PART_BYTES = 10 << 20
 NULL_ID = -(2**63)
 LOCAL = -1
 
@@ -162,7 +164,14 @@ def suffix_order(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _taken(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The bytes of texts, given by their places in data, one after the other."""
-    return data[np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    starts = ends - sizes
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for at in range(0, len(sizes), MANY):  # places are sixteen times the bytes
+        to = slice(at, at + MANY)
+        a, b = int(starts[at]), int(ends[to][-1])
+        out[a:b] = data[np.arange(a, b) + np.repeat(begin[to] - starts[to], sizes[to])]
+    return out
 
 
 def _windows_hit(docs: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
@@ -330,6 +339,24 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(answers())
 
 
+def _alone(data: np.ndarray, begin: np.ndarray, windows: np.ndarray, bits: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of contexts of crowded anchors, without those that have an earlier copy here: context, number in it, hash of the bytes.
+
+    A window is 50 bytes of hash sums for one of the text, so few contexts are expanded at a time.
+    """
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for at in range(0, len(many), FEW):
+        some = many[at : at + FEW]
+        n = windows[some].astype(np.int64)
+        of = np.repeat(some, n)
+        j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        kept = (bits[of] >> j.astype(np.uint64)) & np.uint64(1) == 0
+        of, j = of[kept], j[kept]
+        ends = np.arange(1, len(of) + 1) * LENGTH
+        out.append((of, j, ranges(prefixes(_taken(data, begin[of] + j, np.full(len(of), LENGTH))), ends - LENGTH, ends)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _gather(buckets: int):
     """Step 3: contexts of anchors that others have, compared within the group; (LOCAL, part, answers), and for buckets what has no earlier copy here."""
 
@@ -355,14 +382,7 @@ def _gather(buckets: int):
         rows = [(LOCAL, part, _blob(own[some].astype("<u4"), first[some].astype("<u4"), bits[some]))] if len(some) else []
         free = bits != (np.uint64(1) << (last - first + 1).astype(np.uint64)) - np.uint64(1)
         plain, many = np.flatnonzero(free & ~crowded), np.flatnonzero(free & crowded)
-        # Windows of crowded anchors, without those that have an earlier copy here.
-        n = last[many] - first[many] + 1
-        of = np.repeat(many, n)
-        j = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        alone = (bits[of] >> j.astype(np.uint64)) & np.uint64(1) == 0
-        of, j = of[alone], j[alone]
-        ends = np.arange(1, len(of) + 1) * LENGTH
-        h = ranges(prefixes(_taken(data, begin[of] + j, np.full(len(of), LENGTH))), ends - LENGTH, ends)
+        of, j, h = _alone(data, begin, last - first + 1, bits, many)
         to = np.r_[bucket[plain], ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)]
         sub = np.r_[(anchor[plain] >> np.uint64(16)).astype("<u2"), (h >> np.uint64(8)).astype("<u2")]
         own, first = np.r_[own[plain], own[of]], np.r_[first[plain], first[of] + j]
@@ -418,11 +438,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered(size: int, first: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which bytes of a text of this size lie in windows with earlier copies: bit j of a context is the window first + j."""
-    row, j = np.nonzero((bits[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1))
     edge = np.zeros(size + 1, np.int32)
-    starts = first[row].astype(np.int64) + j
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + LENGTH, -1)
+    for at in range(0, len(bits), FEW):
+        row, j = np.nonzero((bits[at : at + FEW, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1))
+        starts = first[at + row].astype(np.int64) + j
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + LENGTH, -1)
     return np.cumsum(edge[:-1]) > 0
 
 

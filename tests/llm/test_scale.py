@@ -4,6 +4,7 @@ import base64
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,24 @@ def test_a_common_line_is_no_buckets_burden(monkeypatch):
     assert out == brute_substrings(rows)
 
 
+def test_windows_of_crowded_anchors_take_memory_in_proportion():
+    rng = np.random.default_rng(6)
+    raws = [rng.integers(97, 123, 1000, np.uint8).tobytes() for _ in range(400)]
+    docs = pa.table({"doc_id": range(400), "k": pa.array(range(400), pa.int64()), "raw": raws, "part": pa.array([0] * 400, pa.int32())})
+    anchor = np.unique(substring_dedup.contexts(raws)[0])
+    _, name = substring_dedup._route(anchor, 1)
+    told = substring_dedup._table([(0, 0, substring_dedup._blob(name, np.ones(len(name), np.uint8)))])  # all are shared and crowded
+    run = substring_dedup._gather(1)
+    run(docs, told)
+    tracemalloc.start()
+    sent = run(docs, told)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    windows = 400 * (1000 - substring_dedup.LENGTH + 1)
+    assert sum(map(len, sent.column("data").to_pylist())) > windows * substring_dedup.LENGTH
+    assert peak < 500 * windows, peak / windows
+
+
 def test_every_removal_comes_from_lpf(monkeypatch):
     rng = random.Random(5)
     words = [f"w{rng.randrange(3000)}" for _ in range(4000)]
